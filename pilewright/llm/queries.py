@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pilewright.llm.garbled import find_garbled, restore
+from pilewright.llm.packing import pack_documents
 from pilewright.llm.runs import collapse_runs
 from pilewright.llm.stable_sample import frozen_sample
+from pilewright.llm.tokenizer import encode_corpus
 from pilewright.llm.top_n import top_n_per_group
 from pilewright.tables import table
 
@@ -43,9 +46,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foremost_variants(table(spark, sf_dir, "variants")).select("group_id", F.col("rank_no").cast("int").alias("rank_no"), "variant_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents"))[0].select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_sample": p1_sample,
     "p3_runs": p3_runs,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
