@@ -13,6 +13,18 @@ ranked AS (
 SELECT batch_no, name, seq, sample_hash FROM ranked WHERE r <= (n + 9) // 10
 """
 
+_P2 = """
+WITH once AS (SELECT DISTINCT row_id, group_id, spec FROM pileup_rows WHERE spec IS NOT NULL),
+kept AS (
+  SELECT row_id, construct_id, length(ref_seq) AS w, length(ref_seq) - length(ltrim(spec, '-')) AS a, length(rtrim(spec, '-')) AS z,
+    array_to_string(list_transform(range(1, length(ref_seq) + 1), lambda i: CASE WHEN spec[i] = '.' THEN upper(ref_seq[i]) ELSE upper(spec[i]) END), '') AS t
+  FROM once JOIN pileup_groups USING (group_id)),
+pairs AS (
+  SELECT x.row_id AS row_a, y.row_id AS row_b, greatest(x.a, y.a) AS a, least(x.z, y.z) AS z, x.t AS t, y.t AS u
+  FROM kept x JOIN kept y ON x.construct_id = y.construct_id AND x.row_id < y.row_id)
+SELECT row_a, row_b FROM pairs WHERE hamming(t[a + 1:z], u[a + 1:z]) <= 0.06 * (z - a)
+"""
+
 _P3_RUNS = """
 WITH once AS (SELECT DISTINCT group_id, read_ord, spec, seen_at FROM pileup_rows),
 kept AS (
@@ -47,6 +59,7 @@ SELECT group_id, CAST(r AS INTEGER) AS rank_no, variant_id FROM ranked WHERE r <
 
 ORACLES: dict[str, str] = {
     "p1_sample": _P1,
+    "p2_found": _P2,
     "p3_runs": _P3_RUNS,
     "p3_found": f"SELECT group_id, first_ord, last_ord FROM ({_P3_RUNS})",
     "p5_found": _P5,

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pilewright.llm.canonical import map_to_list
 from pilewright.llm.garbled import find_garbled, restore
 from pilewright.llm.packing import pack_documents
 from pilewright.llm.runs import collapse_runs
 from pilewright.llm.stable_sample import frozen_sample
+from pilewright.llm.subpopulations import describe_subpopulations, find_subpopulations, similar_pairs
 from pilewright.llm.tokenizer import encode_corpus
 from pilewright.llm.top_n import top_n_per_group
 from pilewright.tables import table
@@ -26,6 +28,24 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_no", "name", "seq", "sample_hash")
 
 
+def _subpopulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_subpopulations(table(spark, sf_dir, "pileup_rows"), table(spark, sf_dir, "pileup_groups"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(_subpopulations(spark, sf_dir))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's subpopulation; null for a row with null spec."""
+    rows = table(spark, sf_dir, "pileup_rows").select("row_id").distinct()
+    return rows.join(_subpopulations(spark, sf_dir).select("row_id", "construct_id", "subpopulation"), "row_id", "left")
+
+
+def p2_subpopulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_subpopulations(_subpopulations(spark, sf_dir))
+
+
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "pileup_rows"), table(spark, sf_dir, "pileup_groups")).select("group_id", "first_ord", "last_ord", "n_rows", "duration_us")
 
@@ -34,6 +54,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_runs(spark, sf_dir).select("group_id", "first_ord", "last_ord")
 
 
+def reference_entries(entries: DataFrame, key: str, code: str | None = None) -> list[tuple[int, str, str | None, str | None]]:
+    """A reference list, fixed and small, as (id, name, also called, colour code)."""
+    kept = entries.select(F.col(key).alias("id"), "name", "also_called", (F.col(code) if code else F.lit(None).cast("string")).alias("code"))
+    return [tuple(r) for r in kept.orderBy("id").collect()]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = table(spark, sf_dir, "features")
+    lists = {
+        "type": reference_entries(table(spark, sf_dir, "feature_types"), "type_id"),
+        "color": reference_entries(table(spark, sf_dir, "color_names"), "color_id", "hex"),
+    }
+    mapped = [map_to_list(features, "feature_id", c, entries).select(F.col("key").alias("feature_id"), F.lit(c).alias("field"), "ref_id") for c, entries in lists.items()]
+    return mapped[0].unionByName(mapped[1])
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reported values without an entry, with the number of features that have them."""
+    features = table(spark, sf_dir, "features")
+    out = []
+    for column, name, key, code in (("type", "feature_types", "type_id", None), ("color", "color_names", "color_id", "hex")):
+        entries = reference_entries(table(spark, sf_dir, name), key, code)
+        mapped = map_to_list(features, "feature_id", column, entries).filter(F.col("ref_id") == 0)
+        out.append(mapped.groupBy("value").agg(F.count(F.lit(1)).alias("n_features")).select(F.lit(column).alias("field"), "value", "n_features"))
+    return out[0].unionByName(out[1])
+
+
 def foremost_variants(variants: DataFrame, n: int = 5) -> DataFrame:
     """The foremost ``n`` variants of each group with their ``rank_no``."""
     named = F.lower(F.trim(F.col("consequence")))
@@ -64,8 +111,13 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_sample": p1_sample,
+    "p2_found": p2_found,
+    "p2_members": p2_members,
+    "p2_subpopulations": p2_subpopulations,
     "p3_runs": p3_runs,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
