@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pilewright.plans import record_queries
+from pilewright.plans import pileup_queries, record_queries
 
-_MODULES = (record_queries,)
+_MODULES = (record_queries, pileup_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "p6_reads"
+FLAGSHIP = "called_variants"
