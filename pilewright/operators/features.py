@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Feature types that are left out unless asked for.
 SKIPPED_TYPES = ("source", "primer_bind")
-#: Types that are drawn first when lanes run out; all others come last.
-TYPE_ORDER = ("CDS", "gene", "promoter", "terminator", "rep_origin")
+#: Types that are kept first, second and third when lanes run out; all others come last.
+TYPE_TIERS = (("cds", "orf", "gene", "mat_peptide", "sig_peptide", "insert"), ("promoter", "regulatory", "enhancer", "terminator", "polya_signal", "rep_origin", "oric"), ("rbs", "5'utr", "3'utr"))
 
 
 def once(features: DataFrame) -> DataFrame:
@@ -97,7 +97,8 @@ def reading_frames(features: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _priority(kind: str | None) -> int:
-    return TYPE_ORDER.index(kind) if kind in TYPE_ORDER else len(TYPE_ORDER)
+    name = (kind or "").strip().lower()
+    return next((i for i, tier in enumerate(TYPE_TIERS) if name in tier), len(TYPE_TIERS))
 
 
 def plan_lanes(pieces: pd.DataFrame, max_lanes: int = 3, gap: float = 0.75) -> pd.DataFrame:

@@ -316,15 +316,15 @@ codons AS (
 _CLASSIFIED = f"""{_CELLS}, {_SNVS}, {_DELETIONS}, {_FRAMES}, {_CODONS},
 calls AS (SELECT * FROM snvs UNION ALL SELECT * FROM dels),
 framed AS (
-  SELECT v.*, fs, fe, f.ref_seq, v.pos - fs AS o, (v.pos - fs) // 3 + 1 AS r, CASE WHEN kind = 'del' THEN length(v.ref) ELSE length(v.alt) END AS size, fs + (v.pos - fs) // 3 * 3 AS at FROM calls v JOIN frames f USING (group_id)),
-spelled AS (SELECT *, ref_seq[at + 1:at + 3] AS c1, ref_seq[at + 1:pos] || alt || ref_seq[pos + 2:at + 3] AS c2 FROM framed),
+  SELECT v.*, fs, fe, f.ref_seq, v.pos - fs AS o, (v.pos - fs) // 3 + 1 AS r, CASE WHEN kind = 'del' THEN length(v.ref) ELSE length(v.alt) END AS size, fs + (v.pos - fs) // 3 * 3 AS cs FROM calls v JOIN frames f USING (group_id)),
+spelled AS (SELECT *, ref_seq[cs + 1:cs + 3] AS c1, ref_seq[cs + 1:pos] || alt || ref_seq[pos + 2:cs + 3] AS c2 FROM framed),
 named AS (SELECT s.*, coalesce(a.aa, 'X') AS was, coalesce(b.aa, 'X') AS now FROM spelled s LEFT JOIN codons a ON a.codon = s.c1 LEFT JOIN codons b ON b.codon = s.c2),
 judged AS (
   SELECT group_id, pos, kind, ref, alt, "count", depth,
     CASE WHEN fs IS NULL THEN '' WHEN pos < fs OR pos >= fe THEN 'noncoding' WHEN kind <> 'snv' AND size % 3 <> 0 THEN 'frameshift' WHEN kind <> 'snv' THEN 'inframe_indel'
-      WHEN at + 3 > fe THEN 'noncoding' WHEN was = now THEN 'silent' WHEN now = '*' THEN 'nonsense' ELSE 'missense' END AS consequence,
+      WHEN cs + 3 > fe THEN 'noncoding' WHEN was = now THEN 'silent' WHEN now = '*' THEN 'nonsense' ELSE 'missense' END AS consequence,
     CASE WHEN fs IS NULL OR pos < fs OR pos >= fe THEN '' WHEN kind <> 'snv' AND size % 3 <> 0 THEN 'frameshift at ' || r WHEN kind = 'del' THEN 'Δ' || (size // 3) || ' aa at ' || r
-      WHEN at + 3 > fe THEN '' WHEN was = now THEN 'silent (' || was || r || ')' WHEN now = '*' THEN was || r || '*' ELSE was || r || now END AS effect,
+      WHEN cs + 3 > fe THEN '' WHEN was = now THEN 'silent (' || was || r || ')' WHEN now = '*' THEN was || r || '*' ELSE was || r || now END AS effect,
     round("count" / depth, 6) AS fraction, CAST(CASE WHEN kind = 'del' THEN length(ref) ELSE 1 END AS INTEGER) AS length,
     CASE WHEN kind = 'snv' THEN ref || '→' || alt ELSE 'Δ' || length(ref) || ' bp' END AS label
   FROM named),
