@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pilewright.tables import checkpointed
+
 #: Encodings that text may have been read with, and encodings that it may have been written in.
 READ_WITH = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "cp1254", "cp1258", "cp437", "cp850", "mac_roman", "gbk", "euc_jp", "shift_jis", "big5", "euc_kr")
@@ -208,7 +210,8 @@ def find_garbled(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     is listed once for each of its garbled words, also when it is repeated. Texts of any length are
     read whole. An empty table gives no rows.
     """
-    words = words_of(documents)
+    # Words are cut once and read three times.
+    words = checkpointed(words_of(documents))
     garbled = garbled_words(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     return words.join(garbled, "word").select("doc_id", "word", "restored"), garbled
 
