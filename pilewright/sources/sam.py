@@ -12,9 +12,9 @@ LEFT_OUT = 0x4 | 0x100 | 0x800
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """name, flag, rname, start (0-based), cigar, seq, qual of the records of SAM files."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.length("value") > 0))
-    f = F.split("value", "\t")
+    f = lambda k: F.get(F.split("value", "\t"), F.lit(k))
     return lines.select(
-        f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("int") - 1).alias("start"), f[5].alias("cigar"), f[9].alias("seq"), F.get(f, F.lit(10)).alias("qual")
+        f(0).alias("name"), f(1).cast("int").alias("flag"), f(2).alias("rname"), (f(3).cast("int") - 1).alias("start"), f(5).alias("cigar"), f(9).alias("seq"), f(10).alias("qual")
     )
 
 
