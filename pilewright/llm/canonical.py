@@ -170,6 +170,7 @@ def map_values(values: DataFrame, entries: list[tuple[int, str, str | None, str
     starts = [(v, w, b) for b, w in reference.beginnings() for v in deletions(b, 1)]
     vocabulary = spark.createDataFrame([(v, t, b, False) for v, t, b in terms] + [(v, t, b, True) for v, t, b in starts], "variant string, term string, beginning string, start boolean")
     names = list(reference.names)
+    longest = max(map(len, reference.terms()), default=0) + 2
     distinct = values.filter(F.col("value").isNotNull() & ~F.col("value").isin(names)).distinct()
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +190,8 @@ def map_values(values: DataFrame, entries: list[tuple[int, str, str | None, str
                 parts = [(0, whole), *((i, w) for i, w in enumerate(words, 1) if len(words) > 1 or w != whole)]
                 for i, token in parts:
                     for typed in readings(token):
-                        for v in deletions(typed, allowed(len(typed)) if len(typed) > 3 else 1):
+                        # What is longer than every term and its edits is like none of them.
+                        for v in deletions(typed, allowed(len(typed)) if len(typed) > 3 else 1) if len(typed) <= longest else ("",):
                             out.append((value, i, token, typed, v, short and i == 0))
             yield pd.DataFrame(out, columns=["value", "place", "token", "typed", "variant", "short"])
 
