@@ -37,18 +37,19 @@ def cells(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def cells_of(placed: DataFrame) -> DataFrame:
-    core = F.split(F.upper(F.substring(F.col("spec"), F.col("first") + 1, F.col("last") - F.col("first") + 1)), "")
-    long = placed.select("row_id", "group_id", "read_ord", "first", "ref_seq", F.posexplode(core).alias("i", "code"))
-    pos = F.col("first") + F.col("i")
-    ref_base = F.substring(F.col("ref_seq"), pos + 1, F.lit(1))
+    # Codes and reference bases are exploded together: a cell carries two letters, not the whole reference.
+    n = F.col("last") - F.col("first") + 1
+    letters = lambda c: F.split(F.upper(F.substring(F.col(c), F.col("first") + 1, n)), "")
+    pairs = F.arrays_zip(letters("spec").alias("code"), letters("ref_seq").alias("ref"))
+    long = placed.select("row_id", "group_id", "read_ord", "first", F.posexplode(pairs).alias("i", "c"))
     return long.select(
         "row_id",
         "group_id",
         "read_ord",
-        pos.alias("pos"),
-        F.when(F.col("code") == ".", ref_base).otherwise(F.col("code")).alias("base"),
-        ref_base.alias("ref_base"),
-        (F.col("code") == ".").alias("is_match"),
+        (F.col("first") + F.col("i")).alias("pos"),
+        F.when(F.col("c.code") == ".", F.col("c.ref")).otherwise(F.col("c.code")).alias("base"),
+        F.col("c.ref").alias("ref_base"),
+        (F.col("c.code") == ".").alias("is_match"),
     )
 
 
