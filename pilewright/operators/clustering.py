@@ -1,8 +1,8 @@
 """Average-linkage order of the distinct signatures of a group, by nearest-neighbour chain (Müllner 2011; Murtagh 1983).
 
-Signatures are collapsed in Spark first; one task then holds the distinct signatures of one group and their
-distances, n x n doubles. ``MAX_SIGNATURES`` bounds n: a larger group keeps the order of its signature text,
-as a page of so many rows is drawn from a sample.
+Signatures are collapsed in Spark first; one task then holds the distinct signatures of one group. Up to
+``MAX_SIGNATURES`` it holds their distances too, n x n doubles; a larger group is linked in the same way from the
+column sums of its clusters, n x columns floats.
 """
 
 from __future__ import annotations
@@ -18,13 +18,23 @@ from pilewright.operators.pileup import cells_of, signatures
 MAX_SIGNATURES = 6_000
 
 
-def hamming(sets: list[list[int]]) -> np.ndarray:
-    """Sizes of the symmetric differences of all pairs, from one product of 0/1 rows."""
+#: Rows whose distances to all others are held at a time.
+SCAN_ROWS = 256
+
+
+def marks(sets: list[list[int]]) -> np.ndarray:
+    """One 0/1 row a set, one column a position that any set has."""
     columns = sorted(set().union(*map(set, sets))) if sets else []
     index = {c: k for k, c in enumerate(columns)}
     bits = np.zeros((len(sets), len(columns)))
     for i, s in enumerate(sets):
         bits[i, [index[c] for c in s]] = 1
+    return bits
+
+
+def hamming(sets: list[list[int]]) -> np.ndarray:
+    """Sizes of the symmetric differences of all pairs, from one product of 0/1 rows."""
+    bits = marks(sets)
     size = bits.sum(1)
     return size[:, None] + size[None, :] - 2 * bits @ bits.T
 
@@ -58,6 +68,77 @@ def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
+def nearest_rows(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each 0/1 row's nearest other row (the least index of equals) and its distance, by blocks of ``SCAN_ROWS``."""
+    bits = bits.astype(np.float32)
+    size = bits.sum(1)
+    near, away = np.zeros(len(bits), np.int64), np.zeros(len(bits))
+    for i in range(0, len(bits), SCAN_ROWS):
+        d = bits[i : i + SCAN_ROWS] @ bits.T
+        d *= -2
+        d += size
+        own = np.arange(len(d))
+        d[own, i + own] = np.inf
+        near[i : i + len(d)] = d.argmin(1)
+        away[i : i + len(d)] = d[own, near[i : i + len(d)]] + size[i : i + len(d)]
+    return near, away
+
+
+def linkage_of_marks(bits: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of ``average_linkage`` over the Hamming distances of 0/1 rows, without the distances.
+
+    The mean distance of clusters A and B of a and b rows is (b |A| + a |B| - 2 A.B) / ab, A and B being their column
+    sums: whole numbers and one division, so that equal means are equal. Single precision finds the rows that may be
+    nearest, double precision decides. A cluster's nearest stays the nearest until that one merges itself (the
+    linkage is reducible), hence it is kept.
+    """
+    n, m = bits.shape
+    sums = bits.astype(np.float32)
+    total, weight = bits.sum(1).astype(float), np.ones(n)
+    share, part = total.astype(np.float32), np.ones(n, np.float32)  # share is inf where a row is gone
+    slot, row = np.arange(n), np.arange(n)
+    near, away = nearest_rows(bits)
+    seen, changed = np.zeros(n, np.int64), np.zeros(n, np.int64)  # number of merges when near was found, when a slot last merged
+    merges: list[tuple[int, int, float]] = []
+    path: list[int] = []
+
+    def scan(tip: int) -> None:
+        r = row[tip]
+        d = sums @ (sums[r] * (-2 * part[r]))
+        d *= part
+        d += share
+        d[r] = np.inf
+        close = np.flatnonzero(d <= d.min() + (m + 8) * 2.0**-21 * (1 + share[r]))
+        exact = (total[close] * weight[r] + total[r] * weight[close] - 2 * (sums[close].astype(float) @ sums[r].astype(float))) / (weight[close] * weight[r])
+        k = int(exact.argmin())
+        near[tip], away[tip], seen[tip] = slot[close[k]], exact[k], len(merges)
+
+    while len(merges) < n - 1:
+        if not path:
+            path.append(0)  # the lower slot is kept, so that the first is never gone
+        tip = path[-1]
+        if max(changed[tip], changed[near[tip]]) > seen[tip]:
+            scan(tip)
+        if len(path) < 2 or near[tip] != path[-2]:
+            path.append(int(near[tip]))
+            continue
+        del path[-2:]
+        keep, drop = sorted((tip, int(near[tip])))
+        merges.append((keep, drop, float(away[tip])))
+        changed[keep] = changed[drop] = len(merges)
+        k, g = row[keep], row[drop]
+        sums[k] += sums[g]
+        total[k] += total[g]
+        weight[k] += weight[g]
+        share[k], part[k] = total[k] / weight[k], 1 / weight[k]
+        share[g] = np.inf
+        if n - len(merges) < 0.9 * len(slot):
+            left = np.isfinite(share)
+            sums, total, weight, share, part, slot = (x[left] for x in (sums, total, weight, share, part, slot))
+            row[slot] = np.arange(len(slot))
+    return merges
+
+
 def leaves(merges: list[tuple[int, int, float]], n: int) -> list[int]:
     """Slots in dendrogram order: what is absorbed follows what is kept."""
     following = list(range(n))  # the last leaf of each block, and the leaf after each leaf
@@ -89,7 +170,7 @@ def cluster_order(placed: DataFrame, columns: DataFrame | None = None) -> DataFr
             slot = np.zeros(n, int)  # arrival order
         else:
             sets = [sorted(s) for s in group["signature"]]
-            way = leaves(average_linkage(hamming(sets)), n) if n <= MAX_SIGNATURES else sorted(range(n), key=lambda i: sets[i])
+            way = leaves(average_linkage(hamming(sets)) if n <= MAX_SIGNATURES else linkage_of_marks(marks(sets)), n)
             slot = np.empty(n, int)
             slot[way] = np.arange(n)
         return pd.DataFrame({"group_id": group["group_id"], "signature": group["signature"], "slot": slot})

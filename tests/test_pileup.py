@@ -1,5 +1,6 @@
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -153,6 +154,42 @@ def test_cluster_order_puts_subpopulations_together(spark):
     assert abs(got.index(0) - got.index(2)) == 1 and abs(got.index(1) - got.index(3)) == 1
 
 
+def exact_chain(sets):
+    """The chain over a full matrix of fractions."""
+    d = {(i, j): Fraction(len(x ^ y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j}
+    weight, merges, path = dict.fromkeys(range(len(sets)), 1), [], []
+    while len(weight) > 1:
+        path = path or [min(weight)]
+        near = min((i for i in weight if i != path[-1]), key=lambda i: (d[path[-1], i], i))
+        if len(path) < 2 or near != path[-2]:
+            path.append(near)
+            continue
+        keep, drop = sorted(path[-2:])
+        merges.append((keep, drop, float(d[keep, drop])))
+        for i in weight.keys() - {keep, drop}:
+            d[keep, i] = d[i, keep] = (weight[keep] * d[keep, i] + weight[drop] * d[drop, i]) / (weight[keep] + weight[drop])
+        weight[keep] += weight.pop(drop)
+        del path[-2:]
+    return merges
+
+
+def test_linkage_of_marks_is_the_exact_chain_with_ties():
+    rng = random.Random(6)
+    for _ in range(40):
+        sets = list(dict.fromkeys(frozenset(c for c in range(12) if rng.random() < 0.3) for _ in range(rng.randrange(2, 60))))
+        if len(sets) > 1:
+            assert clustering.linkage_of_marks(clustering.marks([sorted(s) for s in sets])) == exact_chain(sets)
+
+
+def test_cluster_order_of_groups_above_the_matrix_bound(spark, monkeypatch):
+    # by text the row with an early error of its own stands apart from its subpopulation
+    placed = pileup.placed_rows(rows(spark, ["..TT....", ".....AA.", "..TT...C", "G....AA.", ".T......"]), groups(spark, "ACGTCGTA"))
+    order = lambda: [r["row_id"] for r in clustering.cluster_order(placed).orderBy("place").collect()]
+    want = order()
+    monkeypatch.setattr(clustering, "MAX_SIGNATURES", 2)
+    assert order() == want and abs(want.index(1) - want.index(3)) == 1 and abs(want.index(0) - want.index(2)) == 1
+
+
 def test_sampling_is_exact_and_fixed(spark):
     reads = spark.range(1000).select(F.lit("a").alias("file"), F.col("id").alias("ord"))
     draw = lambda df: sorted(r["ord"] for r in sampling.draw_pooled(df, 20, 3).collect())
