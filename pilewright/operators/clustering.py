@@ -7,8 +7,12 @@ column sums of its clusters, n x columns floats.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ MAX_SIGNATURES = 6_000
 
 #: Rows whose distances to all others are held at a time.
 SCAN_ROWS = 256
+#: Signatures that are compared as a block.
+BLOCK_SIGNATURES = 2_048
 
 
 def marks(sets: list[list[int]]) -> np.ndarray:
@@ -189,3 +195,48 @@ def signature_distances(placed: DataFrame, group_ids: DataFrame | None = None) -
     b = distinct.select("group_id", F.col("row").alias("b"), F.col("signature").alias("sb"))
     away = F.size(F.array_except("sa", "sb")) + F.size(F.array_except("sb", "sa"))
     return a.join(b, "group_id").filter(F.col("a") < F.col("b")).select("group_id", "a", "b", away.alias("distance"))
+
+
+def nearest_signatures(placed: DataFrame) -> DataFrame:
+    """group_id, row, n_rows, nearest, distance: every distinct signature of every group, named by its least row_id, with
+    the nearest other one of its group (the least name of equals); null where the group has no other.
+
+    Blocks of a group are compared with its blocks, so that a hot group is spread over tasks; one row a signature and
+    block is shuffled, and no pair comes out.
+    """
+    signed = signatures(placed, cells_of(placed.filter(F.col("first").isNotNull())))
+    distinct = signed.groupBy("group_id", "signature").agg(F.min("row_id").alias("row"), F.count(F.lit(1)).alias("n_rows"))
+    sizes = distinct.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGNATURES).alias("blocks"))
+    spread = distinct.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    blocks = spread.groupBy("group_id", "blocks", "block").agg(F.collect_list(F.struct("row", "n_rows", "signature")).alias("rows"))
+    left = blocks.select("group_id", F.col("rows").alias("rows_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(blocks.select("group_id", "block", F.col("rows").alias("rows_b")), ["group_id", "block"]).select("group_id", "rows_a", "rows_b")
+
+    def grid(rows: pa.StructArray, width: int) -> np.ndarray:
+        sets = rows.field("signature")
+        bits = np.zeros((len(rows), width), np.float32)
+        bits[np.repeat(np.arange(len(rows)), pc.list_value_length(sets).to_numpy()), sets.flatten().to_numpy()] = 1
+        return bits
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, rows_a, rows_b in zip(*(batch.column(i) for i in range(3))):
+                a, b = rows_a.values, rows_b.values
+                b = b.take(pa.array(np.argsort(b.field("row").to_numpy())))
+                width = 1 + max(pc.max(x.field("signature").flatten()).as_py() or 0 for x in (a, b))
+                bits_a, bits_b = grid(a, width), grid(b, width)
+                names_a, names_b, size_b = a.field("row").to_numpy(), b.field("row").to_numpy(), bits_b.sum(1)
+                near, away = np.zeros(len(a), np.int64), np.zeros(len(a))
+                for i in range(0, len(a), SCAN_ROWS):
+                    part = bits_a[i : i + SCAN_ROWS]
+                    d = part.sum(1)[:, None] + size_b - 2 * part @ bits_b.T
+                    d[names_a[i : i + SCAN_ROWS, None] == names_b] = np.inf
+                    near[i : i + len(d)], away[i : i + len(d)] = names_b[d.argmin(1)], d.min(1)
+                alone = np.isinf(away)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(group, len(a)), a.field("row"), a.field("n_rows"), pa.array(np.where(alone, 0, away).astype(np.int32), mask=alone), pa.array(near, mask=alone)], names=["group_id", "row", "n_rows", "distance", "nearest"]
+                )
+
+    found = pairs.mapInArrow(compare, "group_id bigint, row bigint, n_rows bigint, distance int, nearest bigint")
+    best = found.groupBy("group_id", "row", "n_rows").agg(F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "nearest"))).alias("best"))
+    return best.select("group_id", "row", "n_rows", F.col("best.nearest").alias("nearest"), F.col("best.distance").alias("distance"))

@@ -188,6 +188,11 @@ def signature_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.signature_distances(placed, small)
 
 
+def nearest_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances within all groups, whatever their size: one row a signature instead of one a pair."""
+    return clustering.nearest_signatures(Pileup(spark, sf_dir).placed)
+
+
 def translated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The protein of each group's frame."""
     p = Pileup(spark, sf_dir)
@@ -244,6 +249,7 @@ QUERIES = {
     "order_by_cluster": ordering("cluster"),
     "interesting_rows": interesting_rows,
     "signature_distances": signature_distances,
+    "nearest_signatures": nearest_signatures,
     "translated_frames": translated_frames,
     "covered_positions": covered_positions,
     "construct_reads": construct_reads,

@@ -190,6 +190,24 @@ def test_cluster_order_of_groups_above_the_matrix_bound(spark, monkeypatch):
     assert order() == want and abs(want.index(1) - want.index(3)) == 1 and abs(want.index(0) - want.index(2)) == 1
 
 
+@pytest.mark.parametrize("block", [2_048, 5])
+def test_nearest_signatures_of_groups_of_more_than_twenty_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(clustering, "BLOCK_SIGNATURES", block)
+    rng = random.Random(7)
+    specs = ["".join("T" if rng.random() < 0.3 else "." for _ in range(10)) for _ in range(60)]
+    r = rows(spark, specs).unionByName(rows(spark, ["....A.....", "....A....."], group=2, start=100)).unionByName(rows(spark, ["T........-"], group=2, start=102))
+    r = r.unionByName(rows(spark, [".........."] * 2, group=3, start=200))
+    placed = pileup.placed_rows(r, groups(spark, "ACGACGACGA", "ACGACGACGA", "ACGACGACGA"))
+    first = {}
+    for i, s in enumerate(specs):
+        first.setdefault(frozenset(c for c, x in enumerate(s) if x == "T"), i)
+    want = {(2, 100, 2, 102, 2), (2, 102, 1, 100, 2), (3, 200, 2, None, None)}
+    for s, i in first.items():
+        away, near = min((len(s ^ o), j) for o, j in first.items() if j != i)
+        want.add((1, i, sum(frozenset(c for c, x in enumerate(t) if x == "T") == s for t in specs), near, away))
+    assert len(first) > 20 and {tuple(x) for x in clustering.nearest_signatures(placed).collect()} == want
+
+
 def test_sampling_is_exact_and_fixed(spark):
     reads = spark.range(1000).select(F.lit("a").alias("file"), F.col("id").alias("ord"))
     draw = lambda df: sorted(r["ord"] for r in sampling.draw_pooled(df, 20, 3).collect())
