@@ -111,6 +111,20 @@ def test_a_subpopulation_of_many_blocks(spark, monkeypatch):
     assert S.similar_pairs(members).distinct().count() == 30 * 29 // 2 == S.similar_pairs(members).count()
 
 
+def test_typical_rows_of_a_subpopulation_of_many_blocks(spark, monkeypatch):
+    """Positions near 50/50, so that blocks have other consensuses than the whole."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 8)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("AC", (0.52, 0.48))[0] for _ in range(6)) + "G" * 34 for _ in range(300)]
+    texts = [" " * rng.randrange(3) + t[2:] if rng.random() < 0.2 else t for t in texts]
+    texts = [t.rjust(40) for t in texts]
+    members = spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(texts)], "row_id bigint, construct_id bigint, subpopulation bigint, content string")
+    centre = [max(sorted(set(c) - {" "}), key=c.count) for c in zip(*texts)]
+    away = lambda t: sum(x not in (" ", y) for x, y in zip(t, centre)) / len(t.strip())
+    want = sorted(range(300), key=lambda i: (away(texts[i]), i))[:3]
+    assert [tuple(x) for x in S.describe_subpopulations(members).collect()] == [(1, 0, 300, want)]
+
+
 def test_no_subpopulations(spark):
     members = S.find_subpopulations(spark.createDataFrame([], ROWS), groups(spark, "ACGT"))
     assert members.count() == 0 and S.similar_pairs(members).count() == 0
