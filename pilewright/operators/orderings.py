@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pilewright.functions.scales import window_bounds
 from pilewright.operators.clustering import cluster_order
 from pilewright.operators.pileup import GAP
 
@@ -45,6 +46,13 @@ def by_cluster(placed: DataFrame) -> DataFrame:
 ORDERINGS: dict[str, Callable[[DataFrame], DataFrame]] = {"length": by_length, "position": by_position, "mismatch": by_mismatch, "cluster": by_cluster}
 
 
+def variant_windows(top: DataFrame, groups: DataFrame, most: int, columns: int) -> DataFrame:
+    """group_id, window_no, start, end: ``columns`` around each of a group's foremost variants (``rank_no`` up to ``most``)."""
+    length = groups.select(F.col("group_id").alias("g"), F.length("ref_seq").alias("n"))
+    start, end = window_bounds(F.col("pos"), F.col("n"), columns)
+    return top.filter(F.col("rank_no") <= most).join(length, F.col("group_id") == F.col("g")).select("group_id", F.col("rank_no").alias("window_no"), start.alias("start"), end.alias("end"))
+
+
 def interesting_first(cells: DataFrame, placed: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of windows (group_id, window_no, start, end): most disagreements first, then most covered, then arrival.
 

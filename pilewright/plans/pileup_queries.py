@@ -180,6 +180,13 @@ def interesting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderings.interesting_first(p.cells, p.placed, windows, limit=16)
 
 
+def variant_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the windows around the foremost variants of each group, up to six a group, as the summary page has them."""
+    p = Pileup(spark, sf_dir)
+    windows = orderings.variant_windows(variants.variant_table(p.classified, 6), p.groups, 6, 60)
+    return orderings.interesting_first(p.cells, p.placed, windows, limit=16)
+
+
 def signature_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances within groups of up to twenty rows: the inputs of a small dendrogram."""
     p = Pileup(spark, sf_dir)
@@ -248,6 +255,7 @@ QUERIES = {
     "order_by_mismatch": ordering("mismatch"),
     "order_by_cluster": ordering("cluster"),
     "interesting_rows": interesting_rows,
+    "variant_window_rows": variant_window_rows,
     "signature_distances": signature_distances,
     "nearest_signatures": nearest_signatures,
     "translated_frames": translated_frames,

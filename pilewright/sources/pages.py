@@ -121,11 +121,7 @@ def summary_tables(view: View) -> dict[str, list]:
     called = variants.call_snvs(cells, stats, **floors).unionByName(variants.call_deletions(stats, pileup.deletion_runs(cells), view.groups, **floors))
     judged = variants.describe(variants.classify(called, annotations.reading_frames(view.features, view.groups)))
     top = variants.variant_table(judged, TABLE_ROWS)
-    half = WINDOW_COLUMNS // 2
-    length = view.groups.select(F.col("group_id").alias("g"), F.length("ref_seq").alias("n"))
-    windows = top.filter(F.col("rank_no") <= WINDOWS).join(length, F.col("group_id") == F.col("g"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - half, F.col("n") - WINDOW_COLUMNS))
-    windows = windows.select("group_id", F.col("rank_no").alias("window_no"), start.alias("start"), F.least(F.col("n"), start + WINDOW_COLUMNS).alias("end"))
+    windows = orderings.variant_windows(top, view.groups, WINDOWS, WINDOW_COLUMNS)
     shown = orderings.interesting_first(cells, placed, windows, WINDOW_ROWS).join(windows.select(F.col("group_id").alias("g"), F.col("window_no").alias("w"), "start", "end"), (F.col("group_id") == F.col("g")) & (F.col("window_no") == F.col("w")))
     texts = shown.join(placed.select(F.col("row_id").alias("r"), "spec"), F.col("row_id") == F.col("r"))
     texts = texts.select("group_id", "window_no", "place", "start", "end", F.substring(F.upper("spec"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))

@@ -125,6 +125,28 @@ def test_orderings(spark):
     assert order("mismatch") == [0, 1, 2, 3]
 
 
+def test_rows_of_overlapping_windows_at_the_foremost_variants(spark, tmp_path):
+    from pilewright.plans import catalog
+
+    def spec(*at, width=200):
+        return "".join("T" if c in at else "." for c in range(width))
+
+    specs = [spec(50, 70), spec(50, 70, 150), spec(50, 150), spec(150, 199), spec(), spec()]
+    ref = "ACG" * 66 + "AC"
+    rows(spark, specs).write.parquet(str(tmp_path / "pileup_rows.parquet"))
+    groups(spark, ref).write.parquet(str(tmp_path / "pileup_groups.parquet"))
+    spark.createDataFrame([], FEATURES + ", loaded_at timestamp_ntz").write.parquet(str(tmp_path / "features.parquet"))
+    spark.createDataFrame([], "construct_id bigint, seq string").write.parquet(str(tmp_path / "constructs.parquet"))
+    got = catalog.QUERIES["variant_window_rows"](spark, str(tmp_path)).collect()
+    want = set()
+    for number, at in enumerate((50, 150, 70), 1):  # by share, then position; one row is too few for 199
+        start = max(0, min(at - 30, 140))
+        marks = [sum(c == "T" for c in s[start : start + 60]) for s in specs]
+        for place, i in enumerate(sorted(range(6), key=lambda i: (-marks[i], i)), 1):
+            want.add((1, number, i, marks[i], 60, place))
+    assert {tuple(x[c] for c in ("group_id", "window_no", "row_id", "disagreements", "covered", "place")) for x in got} == want
+
+
 def naive(d):
     """Average linkage by searching all pairs of clusters."""
     clusters, heights = [[i] for i in range(len(d))], []
