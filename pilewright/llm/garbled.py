@@ -1,23 +1,30 @@
 """Text that was decoded with the wrong encoding: found and, where nothing was lost, restored.
 
-1. Words. Every word with a non-ASCII character is counted by the documents it stands in.
-2. Evidence. The neighbouring characters of words (word edges too), counted the same way, go into 2^20
-   hashed counters: a model of clean text whose size does not depend on the corpus.
-3. Twins. A word is joined with the words that are equal to it when stripped of non-ASCII characters and
-   that it becomes when its characters are read back through a pair of encodings (its runs of non-ASCII
-   characters aligned with theirs); a twin in many more documents votes for the pair.
-4. Learned mappings. Pairs with enough votes are applied to all remaining words, also those without a twin:
-   a word is garbled if reading it back gives neighbours that are far more usual than its own.
+1. Words. Every word with a non-ASCII character is counted by the documents it stands in, under keys that
+   garbling leaves alone: the word stripped of non-ASCII characters; where too little is left of it, what is left
+   with the ASCII token before or after it; for words without any ASCII, the order in which its units repeat.
+2. Twins. Words of equal keys are joined; the one that stands in many more documents is taken as the clean
+   twin. A key has at most 1 / ``SHARE`` twins, so the pairs are linear in the words, however hot a key is.
+3. Alignment. The stripped characters of a word are aligned with those of its twin, run by run. A run that a
+   pair of encodings explains votes for that pair; all others vote unit by unit for a mapping of
+   characters. Runs and units that enough different words agree on are learned, nothing else is used.
+4. Application. Learned mappings are applied to all words, also those without a twin, several times in a row. A word is
+   garbled if what it was has neighbouring characters that are far more usual than its own. Counts of neighbours are
+   exact and joined by Spark.
+
+No list of encodings is kept: what Python can encode is only asked which pair explains a run that twins have aligned,
+so that a learned mapping covers characters no twin has shown. Encodings that Python does not know are learned
+character by character.
 """
 
 from __future__ import annotations
 
+import codecs
+import encodings.aliases
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,201 +32,349 @@ from pyspark.sql import functions as F
 
 from pilewright.tables import checkpointed
 
-#: Encodings that text may have been read with, and encodings that it may have been written in.
-READ_WITH = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2")
-WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "cp1254", "cp1258", "cp437", "cp850", "mac_roman", "gbk", "euc_jp", "shift_jis", "big5", "euc_kr")
-SINGLE_BYTE = frozenset(READ_WITH) | {"cp1253", "cp1254", "cp1258"}
-
-COUNTERS = 1 << 20
-MANY_BYTES = ("utf-8", "gbk", "euc_jp", "shift_jis", "big5", "euc_kr")
-
-#: Reading back must give neighbours in this many times more documents, and in this many at least; only the
-#: strict form of UTF-8 is proof enough to need no more than better evidence.
-RATIO, LEAST = 8, 4
-#: Words that must vote for a pair of encodings, and runs of characters that they must align, before it is
-#: applied to words without a twin.
+#: A twin stands in this share of the documents of its key at least, and in ``VOTES`` times as many as the word.
+SHARE = 0.01
+#: Words, and different aligned runs, that must agree before a mapping is learned.
 VOTES = 3
+#: Bytes of an encoding of several bytes, over all aligned runs, that are proof without so many words.
+PROOF = 4
+#: Pairs of encodings that explain nearly as many runs as the best are kept beside it.
+NEARLY = 0.9
+#: Of the votes of a unit, the share that its character must have.
+AGREED = 0.8
+#: What the word was must have neighbours in this many times more documents, and in this many at least; the strict
+#: form of UTF-8 is proof enough to need no more than better evidence.
+RATIO, LEAST = 8, 4
 #: Text may have been decoded wrongly this many times in a row.
 DEPTH = 3
-
-WORD_JVM = r"[A-Za-z]*(?:[^\x00-\x7F]+[A-Za-z]*)+"
-WORD = re.compile(WORD_JVM)
-RUN = re.compile(r"[^\x00-\x7f]+")
+#: ASCII letters that a stripped word must keep to be a key by itself; units that a word needs for a key of repeats.
+LETTERS, UNITS = 2, 4
+#: Characters of a unit: one character may have become so many.
+UNIT_SIZES = (1, 2, 3)
+
+WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
+TOKEN = re.compile(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+")
+STRIPPED = re.compile(r"[\x80-\U0010ffff]+")
 LOST = "�"
 
 
 @lru_cache
-def byte_of(codec: str) -> dict[str, int]:
-    """Character to byte from 0x80; bytes that the code page leaves free are the C1 controls, as decoders read them.
-
-    For cp1252 the C1 controls stand for their bytes too, as Latin-1 has them.
-    """
-    table = {chr(b): b for b in range(0x80, 0x100)} if codec == "cp1252" else {}
-    for b in range(0x80, 0x100):
+def known_encodings() -> tuple[str, ...]:
+    """What Python encodes text with such that ASCII stays as it is and all else has a byte above it."""
+    out = []
+    for name in sorted(set(encodings.aliases.aliases.values())):
         try:
-            table[bytes([b]).decode(codec)] = b
-        except UnicodeDecodeError:
-            table.setdefault(chr(b), b)
-    return table
+            if codecs.lookup(name)._is_text_encoding and bytes(range(128)).decode(name) == "".join(map(chr, range(128))):
+                samples = [c for c in "éжωשعก中ひ가" if c == c.encode(name, "ignore").decode(name)]
+                if samples and all(max(c.encode(name)) > 127 for c in samples):
+                    out.append(name)
+        except (LookupError, UnicodeError):
+            pass
+    return tuple(out)
 
 
 @lru_cache
-def char_map(read: str, written: str) -> dict[int, str]:
-    """For a single-byte pair: the character read, and the one written."""
-    out = {}
-    for c, b in byte_of(read).items():
+def byte_table(name: str) -> dict[int, str] | None:
+    """Characters above ASCII to bytes (as Latin-1 characters) of a single-byte encoding; None for all others.
+
+    C1 controls stand for bytes that the encoding leaves free or that were read as Latin-1.
+    """
+    table: dict[int, str] = {}
+    for b in range(0x80, 0x100):
         try:
-            out[ord(c)] = bytes([b]).decode(written)
+            c = bytes([b]).decode(name)
         except UnicodeDecodeError:
-            pass
-    return out
+            continue
+        if len(c) == 1:
+            table[ord(c)] = chr(b)
+    if len(table) < 32 or any(len(c.encode(name, "ignore")) > 1 for c in "é中ひ가"):
+        return None
+    for b in range(0x80, 0xA0):
+        table.setdefault(b, chr(b))
+    return table
 
 
-def read_back(text: str, read: str, written: str) -> str | None:
-    """What ``text`` was if it was written in ``written`` and decoded with ``read``; None where it can't be."""
-    table = byte_of(read)
-    if not all(c in table for c in text if c > "\x7f"):
-        return None
-    if written in SINGLE_BYTE:
-        mapped = char_map(read, written)
-        if any(ord(c) not in mapped for c in text if c > "\x7f"):
-            return None
-        return text.translate(mapped)
-    raw = bytes(ord(c) if c <= "\x7f" else table[c] for c in text)
+def to_bytes(text: str, name: str) -> bytes | None:
+    """The bytes that ``text`` was read from with encoding ``name``; None where it cannot be."""
+    table = byte_table(name)
     try:
-        return raw.decode(written)
-    except UnicodeDecodeError:
+        return text.encode(name) if table is None else text.translate(table).encode("latin-1") if all(ord(c) in table for c in text if c > "\x7f") else None
+    except UnicodeError:
         return None
 
 
-def counter_of(neighbours: str) -> int:
-    return zlib.crc32(neighbours.encode("utf-8", "surrogatepass")) % COUNTERS
+def explained_by(garbled: str, clean: str) -> list[str]:
+    """``read>written`` of all encodings such that ``clean``, written in one and read with the other, is ``garbled``."""
+    by_bytes: dict[bytes, list[str]] = {}
+    for name in known_encodings():
+        try:
+            by_bytes.setdefault(clean.encode(name), []).append(name)
+        except UnicodeError:
+            pass
+    return [f"{read}>{written}" for read in known_encodings() if (b := to_bytes(garbled, read)) is not None for written in by_bytes.get(b, ()) if written != read]
+
+
+class Mapping:
+    """A learned mapping from garbled text to what it was."""
+
+    def __init__(self, name: str, units: dict[str, str] | None = None, size: int = 1) -> None:
+        self.name, self.units, self.size = name, units, size
+        if units is None:
+            self.read, self.written = name.split(">")
+        self.strict = units is None and self.written.startswith("utf_8")
+        self.direct: dict[int, str] | None = None
+        #: The characters that it applies to, where they are few.
+        self.covers: frozenset[str] | None = None
+        self.table = byte_table(self.read) if units is None else None
+        if units is None and self.table is not None and byte_table(self.written) is not None:
+            self.direct = {}
+            for c, b in self.table.items():
+                try:
+                    self.direct[c] = b.encode("latin-1").decode(self.written)
+                except UnicodeDecodeError:
+                    pass
+        if self.table is not None:
+            self.covers = frozenset(map(chr, self.direct if self.direct is not None else self.table))
+
+    def undo(self, text: str, above: set[str]) -> str | None:
+        """What ``text`` was; ``above`` are its characters above ASCII. None where the mapping does not apply."""
+        if self.covers is not None and not above <= self.covers:
+            return None
+        if self.direct is not None:
+            return text.translate(self.direct)
+        if self.units is None:
+            try:
+                raw = text.encode(self.read) if self.table is None else text.translate(self.table).encode("latin-1")
+                return raw.decode(self.written)
+            except UnicodeError:
+                return None
+        out, at, n = [], 0, self.size
+        while at < len(text):
+            if text[at] <= "\x7f":
+                out.append(text[at])
+                at += 1
+            elif (c := self.units.get(text[at : at + n])) is not None:
+                out.append(c)
+                at += n
+            else:
+                return None
+        return "".join(out)
+
+
+def repeats(word: str, size: int) -> str | None:
+    """The order in which the units of a word repeat; None for words of too few units."""
+    if len(word) % size or len(word) < UNITS * size:
+        return None
+    seen: dict[str, int] = {}
+    return f"{len(word) // size}:" + ",".join(str(seen.setdefault(word[i : i + size], len(seen))) for i in range(0, len(word), size))
 
 
-def neighbours(word: str) -> list[str]:
-    """Pairs of neighbouring characters, one of them at least not ASCII; ``^`` and ``$`` are the edges."""
-    edged = f"^{word}$"
-    return [edged[i : i + 2] for i in range(len(edged) - 1) if edged[i] > "\x7f" or edged[i + 1] > "\x7f"]
+def words_of(documents: DataFrame) -> DataFrame:
+    """``doc_id, word, keys``: the distinct words with a non-ASCII character of each document, and what they are joined by."""
+    dirty = documents.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, keys = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found: dict[str, set[str]] = {}
+                for line in re.split(r"[\r\n]+", text):
+                    if line.isascii():
+                        continue
+                    tokens = TOKEN.findall(line)
+                    for at, token in enumerate(tokens):
+                        if token.isascii():
+                            continue
+                        left = STRIPPED.sub("", token)
+                        under = found.setdefault(token, set())
+                        if len(left) >= LETTERS:
+                            under.add(f"w {left}")
+                        else:
+                            if at and tokens[at - 1].isascii():
+                                under.add(f"l {tokens[at - 1]} {left}")
+                            if at + 1 < len(tokens) and tokens[at + 1].isascii():
+                                under.add(f"r {left} {tokens[at + 1]}")
+                rows += [row] * len(found)
+                words += found
+                keys += map(list, found.values())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "word", "keys"])
+
+    return dirty.mapInArrow(cut, "doc_id bigint, word string, keys array<string>")
+
+
+def find_twins(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """``word, twin, whole``: pairs of equal keys of which the second stands in many more documents.
+
+    ``whole`` is true for pairs joined by the order of repeats: their whole words are aligned, not what was stripped.
+    """
 
-class Evidence:
-    """How usual a word's neighbours are: the documents of its rarest pair."""
+    def by_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for word, n in zip(batch["word"], batch["n"]):
+                # A word that keeps its ASCII letters is joined by them; the trail bytes of some encodings are letters.
+                above = sum(c > "\x7f" for c in word)
+                if 2 * above < len(word) or LOST in word:
+                    continue
+                for size in UNIT_SIZES:
+                    key = repeats(word, size)
+                    if key is not None and (size > 1 or above == len(word)):
+                        out.append((f"p {key}", word, n, size == 1))
+            yield pd.DataFrame(out, columns=["key", "word", "n", "plain"])
+
+    stripped = words.select("word", F.explode("keys").alias("key")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")).select("key", "word", "n", F.lit(True).alias("plain"))
+    keyed = checkpointed(stripped.unionByName(counted.select("word", "n").mapInPandas(by_repeats, "key string, word string, n bigint, plain boolean")))
+    totals = keyed.filter("plain").groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") > VOTES)
+    twins = keyed.filter(F.col("plain") & (F.col("n") >= VOTES)).join(totals, "key").filter(F.col("n") >= F.col("total") * SHARE)
+    twins = twins.select(F.col("key").alias("k"), F.col("word").alias("twin"), F.col("n").alias("twin_n"))
+    pairs = keyed.join(twins, (F.col("key") == F.col("k")) & (F.col("word") != F.col("twin")) & (F.col("twin_n") >= VOTES * F.col("n")))
+    return pairs.select("word", "twin", F.col("key").startswith("p ").alias("whole")).distinct()
+
+
+def learn(pairs: DataFrame) -> list[Mapping]:
+    """The mappings that enough twins agree on.
+
+    To the driver come votes per pair of encodings, of which there are as many as Python knows, and the units of
+    unexplained runs that enough words agree on, at most one a garbled unit.
+    """
+    letters = F.lit("[A-Za-z]+")
+    cut = lambda c: F.when(F.col("whole"), F.col(c)).otherwise(F.regexp_replace(c, letters, F.lit(" ")))
+    aligned = pairs.select(cut("word").alias("garbled"), cut("twin").alias("clean"), "word").filter(F.col("garbled") != F.col("clean"))
+    aligned = aligned.groupBy("garbled", "clean").agg(F.countDistinct("word").alias("words"))
 
-    def __init__(self, counters: np.ndarray) -> None:
-        self.counters = counters
-        self.cache: dict[str, int] = {}
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ways = [explained_by(g, c) for g, c in zip(batch["garbled"], batch["clean"])]
+            yield batch.assign(ways=ways)
 
-    def pair(self, p: str) -> int:
-        n = self.cache.get(p)
-        if n is None:
-            n = self.cache[p] = int(self.counters[counter_of(p)])
-        return n
+    explained = checkpointed(aligned.repartition("garbled", "clean").mapInPandas(explain, "garbled string, clean string, words bigint, ways array<string>"))
+    # What reads as UTF-8 itself is no clean twin.
+    unclean = explained.filter(F.exists("ways", lambda w: w.endswith(">utf_8"))).select(F.col("garbled").alias("unclean")).distinct()
+    explained = checkpointed(explained.join(unclean, F.col("clean") == F.col("unclean"), "left_anti"))
+    named = explained.filter(F.size("ways") > 0)
+    runs = {r["way"]: r["runs"] for r in named.select(F.explode("ways").alias("way")).groupBy("way").agg(F.count(F.lit(1)).alias("runs")).collect()}
 
-    def of(self, word: str) -> int:
-        return min((self.pair(p) for p in neighbours(word)), default=1 << 30)
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ways = [[x for x in w if runs[x] >= NEARLY * max(runs[y] for y in w)] for w in batch["ways"]]
+            written = [max((x.split(">")[1] for x in w if byte_table(x.split(">")[1]) is None), default=None) for w in ways]
+            proof = [sum(b > 127 for b in c.encode(w)) if w else 0 for w, c in zip(written, batch["clean"])]
+            yield pd.DataFrame({"garbled": batch["garbled"], "clean": batch["clean"], "way": ways, "words": batch["words"], "proof": proof})
+
+    # Each run votes for the pairs that explain most runs, or nearly as many, as long as its twin is not itself garbled by a
+    # way with more votes.
+    chosen = checkpointed(named.mapInPandas(best, "garbled string, clean string, way array<string>, words bigint, proof bigint").withColumn("way", F.explode("way")))
+    weights = chosen.groupBy("way").agg(F.sum("words").alias("weight"))
+    weighed = chosen.join(weights, "way")
+    rivals = weighed.groupBy(F.col("garbled").alias("rival")).agg(F.max("weight").alias("rival_weight"))
+    votes = weighed.join(rivals, F.col("clean") == F.col("rival"), "left").filter(F.coalesce("rival_weight", F.lit(0)) <= F.col("weight"))
+    votes = votes.groupBy("way").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("runs"), F.sum("proof").alias("proof"))
+    ways = sorted(r["way"] for r in votes.filter((F.col("proof") >= PROOF) | ((F.col("words") >= VOTES) & (F.col("runs") >= VOTES))).collect())
+
+    def unit_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for garbled, clean, words in zip(batch["garbled"], batch["clean"], batch["words"]):
+                g, c = STRIPPED.findall(garbled), STRIPPED.findall(clean)
+                size = len(g[0]) // len(c[0]) if g and c else 0
+                if size in UNIT_SIZES and len(g) == len(c) and all(len(x) == size * len(y) for x, y in zip(g, c)):
+                    out += {(size, ord(y[i]) >> 7, x[i * size : (i + 1) * size], y[i], words) for x, y in zip(g, c) for i in range(len(y))}
+            yield pd.DataFrame(out, columns=["size", "script", "unit", "char", "words"])
+
+    units = explained.filter(F.size("ways") == 0).mapInPandas(unit_votes, "size int, script int, unit string, char string, words bigint")
+    units = units.groupBy("size", "script", "unit", "char").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("runs"))
+    # Chance gives a unit many characters, and a character many units: both must agree.
+    units = checkpointed(units)
+    of_unit = units.groupBy("size", "script", "unit").agg(F.sum("words").alias("by_unit"))
+    of_char = units.groupBy("size", "script", "char").agg(F.sum("words").alias("by_char"))
+    agreed = units.filter((F.col("words") >= VOTES) & (F.col("runs") >= 2) & (F.col("unit") != F.col("char"))).join(of_unit, ["size", "script", "unit"]).join(of_char, ["size", "script", "char"])
+    tables: dict[tuple[int, int], dict[str, str]] = {}
+    for r in agreed.filter(F.col("words") >= AGREED * F.greatest("by_unit", "by_char")).collect():
+        tables.setdefault((r["size"], r["script"]), {})[r["unit"]] = r["char"]
+    return [Mapping(w) for w in ways] + [Mapping(f"{size} of block {script}", table, size) for (size, script), table in sorted(tables.items()) if len(table) >= VOTES]
+
+
+def neighbours(word: str) -> set[str]:
+    """Pairs of neighbouring characters, one of them at least not ASCII; ``^`` and ``$`` are the edges."""
+    edged = f"^{word}$"
+    return {edged[i : i + 2] for i in range(len(edged) - 1) if edged[i] > "\x7f" or edged[i + 1] > "\x7f"}
 
 
-def restorations(word: str, evidence: Evidence) -> Iterator[tuple[str, str, int]]:
-    """Pairs of encodings (one after the other, parted by blanks), what the word was, and its evidence."""
-    own = evidence.of(word)
-    level = [(word, "")]
-    for depth in range(DEPTH):
+def readings(word: str, mappings: list[Mapping]) -> Iterator[tuple[str, str, bool]]:
+    """(ways one after the other, what the word was, whether its form is strict), several mappings deep."""
+    level, seen = [(word, "")], set()
+    for _ in range(DEPTH):
         following = []
         for text, way in level:
-            for read in READ_WITH:
-                table = byte_of(read)
-                if not all(c in table for c in text if c > "\x7f"):
+            above = {c for c in text if c > "\x7f"}
+            for m in mappings:
+                was = m.undo(text, above)
+                if was is None or was == word or LOST in was or was in seen:
                     continue
-                for written in WRITTEN_IN if depth == 0 else WRITTEN_IN[:1]:
-                    if written == read:
-                        continue
-                    was = read_back(text, read, written)
-                    if was is None or was == text or LOST in was:
-                        continue
-                    name = f"{way} {read}>{written}".strip()
-                    if written == "utf-8":
-                        following.append((was, name))
-                    if was.isascii():
-                        continue
-                    found = evidence.of(was)
-                    if found > own + 1 if written == "utf-8" else found >= max(LEAST, RATIO * own) and not word.isspace():
-                        yield name, was, found
+                seen.add(was)
+                name = f"{way} {m.name}".strip()
+                if m.strict:
+                    following.append((was, name))
+                if not was.isascii() and (m.strict or not word.isspace()):
+                    yield name, was, m.strict
         level = following
 
 
-def words_of(documents: DataFrame) -> DataFrame:
-    """``doc_id, word``: the distinct words with a non-ASCII character of each document."""
-    dirty = documents.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    return dirty.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_JVM), F.lit(0)))).alias("word"))
-
-
-def collect_evidence(counted: DataFrame) -> np.ndarray:
-    """The hashed counters of neighbours: at most 2^20 numbers, whatever the corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for p in set(neighbours(word)):
-                    k = counter_of(p)
-                    total[k] = total.get(k, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["counter", "n"])
-
-    sums = counted.mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    counters = np.zeros(COUNTERS, np.int64)
-    counters[sums["counter"].to_numpy(int)] = sums["n"].to_numpy()
-    return np.minimum(counters, np.iinfo(np.int32).max).astype(np.int32)
-
+def find_garbled(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, word, restored``: the garbled words of each garbled document; ``word, restored``: all garbled words).
 
-def garbled_words(counted: DataFrame) -> DataFrame:
-    """``word, restored`` of the garbled words among ``word, n``; ``restored`` is null where something was lost."""
-    spark = counted.sparkSession
-    counters = spark.sparkContext.broadcast(collect_evidence(counted))
+    A word with U+FFFD is garbled, and lost: its ``restored`` is null. Null, empty and plain ASCII texts have no words; a
+    document is listed once for each of its garbled words, also when it is repeated. Texts and words of any length are
+    read whole. An empty table gives no rows.
+    """
+    # Words are cut once and read several times.
+    words = checkpointed(words_of(documents))
+    counted = checkpointed(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(F.md5("word").alias("id"), "word", "n"))
+    mappings = learn(find_twins(words, counted))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        evidence = Evidence(counters.value)
         for batch in batches:
             out = []
-            for word, n in zip(batch["word"], batch["n"]):
+            for key, word in zip(batch["id"], batch["word"]):
                 if LOST in word:
-                    out.append((word, n, LOST, None, 0))
-                else:
-                    out += [(word, n, way, was, found) for way, was, found in restorations(word, evidence)]
-            yield pd.DataFrame(out, columns=["word", "n", "way", "was", "found"])
-
-    candidates = counted.mapInPandas(read, "word string, n bigint, way string, was string, found bigint")
-    last = F.element_at(F.split("way", " "), -1)
-    strict = F.substring_index(last, ">", -1).isin(*MANY_BYTES)
-    # Twins: equal when stripped, and equal after reading back; the clean one stands in many more documents.
-    twins = counted.select(F.col("word").alias("twin"), F.col("n").alias("twin_n"))
-    plain = candidates.groupBy("word").agg(F.first("n").alias("n"), F.bool_or(strict).alias("strict"), F.collect_set(F.struct(last.alias("pair"), "was")).alias("ways"))
-    plain = plain.filter(~F.col("strict")).select("word", "n", F.explode("ways").alias("at")).select("word", "n", "at.*")
-    runs = F.regexp_extract_all(F.col("word"), F.lit("[^\\x00-\\x7F]+"), F.lit(0))
-    voted = plain.join(twins, (F.col("was") == F.col("twin")) & (F.col("twin_n") >= VOTES * F.col("n"))).select("pair", "word", F.explode(runs).alias("run"))
-    votes = voted.groupBy("pair").agg(F.countDistinct("word").alias("words"), F.countDistinct("run").alias("runs"))
-    learned = [r["pair"] for r in votes.filter((F.col("words") >= VOTES) & (F.col("runs") >= VOTES)).collect()]
-    # What was written in an encoding of several bytes and reads back whole proves itself: its form is strict.
-    known = (F.col("way") == LOST) | strict | last.isin(learned)
-    return candidates.filter(known).groupBy("word").agg(F.max_by("was", F.struct("found", "way")).alias("restored"))
-
-
-def find_garbled(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, word``: the garbled words of each garbled document; ``word, restored``: all garbled words).
+                    out.append((key, LOST, word, None, False, None))
+                    continue
+                ways = list(readings(word, mappings))
+                if ways:
+                    out.append((key, "", word, word, False, list(neighbours(word))))
+                    out += [(key, way, word, was, strict, list(neighbours(was))) for way, was, strict in ways]
+            yield pd.DataFrame(out, columns=["id", "way", "word", "was", "strict", "pairs"])
 
-    A word with U+FFFD is garbled, and lost. Null, empty and plain ASCII texts have no words; a document
-    is listed once for each of its garbled words, also when it is repeated. Texts of any length are
-    read whole. An empty table gives no rows.
-    """
-    # Words are cut once and read three times.
-    words = checkpointed(words_of(documents))
-    garbled = garbled_words(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    return words.join(garbled, "word").select("doc_id", "word", "restored"), garbled
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[str, int] = {}
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for p in neighbours(word):
+                    total[p] = total.get(p, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["pair", "n"])
+
+    # The work of a word is not in proportion to its bytes: a fixed number of tasks, not one a size.
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    candidates = checkpointed(counted.select("id", "word").repartition(parts, "id").mapInPandas(read, "id string, way string, word string, was string, strict boolean, pairs array<string>"))
+    usual = counted.select("word", "n").mapInArrow(beside, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    asked = candidates.select("id", "way", "strict", F.explode("pairs").alias("pair"))
+    evidence = asked.join(usual, "pair", "left").groupBy("id", "way", "strict").agg(F.min(F.coalesce("n", F.lit(0))).alias("found"))
+    # A word that is known as a whole is preferred.
+    known = candidates.filter(F.col("was").isNotNull() & (F.col("way") != "")).select("id", "way", F.md5("was").alias("was_id")).join(counted.select(F.col("id").alias("was_id"), F.col("n").alias("listed")), "was_id").drop("was_id")
+    evidence = evidence.join(known, ["id", "way"], "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    own = F.min(F.when(F.col("way") == "", F.col("found")))
+    by_word = evidence.groupBy("id").agg(own.alias("own"), F.collect_list(F.when(F.col("way") != "", F.struct("strict", "listed", "found", "way"))).alias("ways"))
+    enough = lambda w: F.when(w["strict"], w["found"] > F.col("own") + 1).otherwise((w["found"] >= LEAST) & (w["found"] >= RATIO * F.col("own")))
+    chosen = by_word.select("id", F.array_max(F.filter("ways", enough)).alias("best")).filter(F.col("best").isNotNull()).select("id", F.col("best.way").alias("way"))
+    restored = candidates.join(chosen, ["id", "way"]).select("word", F.col("was").alias("restored"))
+    garbled = checkpointed(restored.unionByName(candidates.filter(F.col("way") == LOST).select("word", F.col("was").alias("restored"))))
+    return words.join(garbled, "word").select("doc_id", "word", "restored").distinct(), garbled
 
 
 def restore(documents: DataFrame) -> DataFrame:
     """``doc_id, restored_text, complete`` of the garbled documents: every garbled word replaced by what it was.
 
-    ``complete`` is false where a word could not be restored and stands as it was found. Repeated rows of
+    ``complete`` is false where a word that was found to be garbled could not be restored and stands as it was. Repeated rows of
     a document come out once.
     """
     found, _ = find_garbled(documents)

@@ -126,6 +126,36 @@ def test_garbled_text_is_found_and_restored(spark):
     assert find_garbled(df.limit(0))[0].count() == 0
 
 
+def documents(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def test_encodings_on_no_list_are_learned(spark):
+    line = CLEAN["ru"]
+    rare = [line.encode("iso8859_5").decode("cp1252"), line.encode("iso8859_5").decode("cp1251"), line.upper().encode("cp1251").decode("mac_cyrillic")]
+    got = {r["doc_id"]: r for r in restore(documents(spark, [line] * 200 + rare + [line.upper()] * 200)).collect()}
+    assert set(got) == {200, 201, 202} and all(r["restored_text"].lower() == line and r["complete"] for r in got.values())
+
+
+def test_a_mapping_that_no_encoding_has_is_learned_by_characters(spark):
+    rng = random.Random(5)
+    letters = "áéíóúàèìòùâêîôûäëïöü"
+    other = dict(zip(letters, rng.sample("╔╗╝╚═║╠╣╦╩╬░▒▓█▄▌▐▀■", len(letters))))
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice(letters) for _ in range(3)) for _ in range(60)]
+    texts = [" ".join(words)] * 40 + [" ".join(rng.sample(words, 30)).translate(str.maketrans(other)) for _ in range(3)]
+    got = {r["doc_id"]: r for r in restore(documents(spark, texts)).collect()}
+    back = str.maketrans({v: k for k, v in other.items()})
+    assert set(got) == {40, 41, 42}
+    # A letter that too few words show stays as it was found.
+    right = [x == y for i, r in got.items() for x, y in zip(r["restored_text"].split(), texts[i].translate(back).split())]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_words_of_any_length(spark):
+    texts = ["éa" * 200_000, "中" * 100_000, "a" * 300_000 + " é", "x" * 100_000 + "é"]
+    assert find_garbled(documents(spark, texts * 2))[0].count() == 0
+
+
 TYPES = [(1, "CDS", "coding sequence|coding region", None), (2, "promoter", "promoter region", None), (3, "5'UTR", "five prime utr", None), (4, "3'UTR", None, None), (5, "repeat_region", None, None), (6, "stem_loop", "hairpin", None)]
 COLORS = [(1, "black", "ink", "#181818"), (2, "sky blue", "azure", "#60a8ec"), (3, "crimson", "deep red", "#a81818")]
 
