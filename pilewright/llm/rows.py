@@ -10,8 +10,11 @@ UNCOVERED, GAP, MATCH = 0, ord("-"), ord(".")
 
 
 def _matrix(strings: list[str], width: int) -> np.ndarray:
-    """Code points, one row a string, padded with 0."""
-    return np.array(strings, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(len(strings), max(width, 1))
+    """Code points, one row a string, padded with 0; bytes where all are ASCII."""
+    try:
+        return np.array(strings, dtype=f"S{max(width, 1)}").view(np.uint8).reshape(len(strings), max(width, 1))
+    except UnicodeEncodeError:
+        return np.array(strings, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(len(strings), max(width, 1))
 
 
 def _upper(codes: np.ndarray) -> np.ndarray:
@@ -37,8 +40,10 @@ def contents(specs: list[str], refs: list[str]) -> np.ndarray:
 
 def as_strings(matrix: np.ndarray) -> list[str]:
     """Contents as strings, a space where a row covers nothing; all as wide as the matrix."""
-    codes = np.where(matrix == UNCOVERED, 32, matrix).astype(np.uint32)
-    return np.ascontiguousarray(codes).view(f"U{codes.shape[1]}").ravel().tolist()
+    codes = np.ascontiguousarray(np.where(matrix == UNCOVERED, 32, matrix).astype(np.uint8 if matrix.dtype == np.uint8 else np.uint32))
+    if codes.dtype == np.uint8:
+        return [t.decode() for t in codes.view(f"S{codes.shape[1]}").ravel().tolist()]
+    return codes.view(f"U{codes.shape[1]}").ravel().tolist()
 
 
 def from_strings(strings: list[str]) -> np.ndarray:
@@ -52,6 +57,18 @@ def differences(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.sum(-1), (both & (a != b)).sum(-1)
 
 
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``differences`` of every row of ``a`` with every row of ``b``, by products of 0/1 matrices, one a symbol."""
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+    both = (a != UNCOVERED).astype(np.float32) @ (b != UNCOVERED).astype(np.float32).T
+    agree = np.zeros_like(both)
+    for symbol in np.intersect1d(a, b):
+        if symbol != UNCOVERED:
+            agree += (a == symbol).astype(np.float32) @ (b == symbol).astype(np.float32).T
+    return both.astype(np.int32), (both - agree).astype(np.int32)
+
+
 def rows_with_reference(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
     """``group_id``, ``columns`` and ``spec`` of the rows, with ``ref_seq`` and ``construct_id`` of their group.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pilewright.llm import subpopulations as S
 from pilewright.llm.queries import foremost_variants
-from pilewright.llm.rows import contents, differences
+from pilewright.llm.rows import contents, differences, overlaps
 from pilewright.llm.runs import collapse_runs, segment, segment_general
 from pilewright.llm.stable_sample import frozen_sample
 from tests.pileups import ROWS, groups, rows
@@ -99,12 +99,69 @@ def test_rounds_in_tasks_and_as_jobs_give_the_same(spark):
             ids = [100 * construct + 10 * clique + k for k in range(4)]
             links += [(construct, a, b, 0.96 + rng.random() / 30) for a in ids for b in ids if a < b]
         links += [(construct, 100 * construct + 10 * c, 100 * construct + 10 * c + 10, 0.9) for c in range(2)]
-    df = spark.createDataFrame(links, "construct_id bigint, a bigint, b bigint, similarity double").coalesce(1)
+    df = spark.createDataFrame(links, "construct_id bigint, a bigint, b bigint, total double").coalesce(1).withColumn("links", F.lit(1).cast("bigint"))
     want = {100 * c + 10 * q + k: 100 * c + 10 * q for c in (1, 2) for q in range(3) for k in range(1, 4)}
     assert dict(map(tuple, S.merge_nearest(df, 0.94, 1_000).collect())) == want
     assert dict(map(tuple, S.merge_nearest(df, 0.94, 0).collect())) == want
 
 
+def recall(spark, specs, ref, fewest=1, **how):
+    """The share of the pairs that share ``fewest`` positions and differ at no more than 6 % of them, and wrong ones."""
+    members = S.checkpointed(S.find_subpopulations(rows(spark, specs), groups(spark, ref), **how))
+    grid = contents(specs, [ref] * len(specs))
+    both, differ = overlaps(grid, grid)
+    near = np.triu(differ <= 0.06 * both + 1e-9, 1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(near & (both >= fewest)))))
+    got = {tuple(x) for x in S.similar_pairs(members).collect()}
+    return len(got & want) / len(want), {(i, j) for i, j in got if not near[i, j]}
+
+
+def test_rows_that_cover_a_half(spark):
+    rng = random.Random(6)
+    ref = "".join(rng.choice("ACGT") for _ in range(150))
+    left, right = "A" + "." * 74 + "-" * 75, "-" * 70 + "." * 80
+    specs = [left, left[:9] + "C" + left[10:], left, right, right[:99] + "-" + right[100:]]
+    assert recall(spark, specs, ref) == (1.0, set())
+
+
+def partly_covered(rng, populations, size, width=160):
+    ref = "".join(rng.choice("ACGT") for _ in range(width))
+    specs = []
+    for _ in range(populations):
+        base = "".join(rng.choice("ACGT") if rng.random() < 0.5 else "." for _ in range(width))
+        for _ in range(size):
+            row = "".join(rng.choice("ACGT") if rng.random() < 0.012 else c for c in base)
+            a = rng.choice([0, 0, rng.randrange(0, width * 5 // 8)])
+            z = min(width, a + rng.choice([width, rng.randrange(width * 3 // 8, width)]))
+            specs.append("-" * a + row[a:z] + "-" * (width - z))
+    return ref, specs
+
+
+@pytest.mark.parametrize("task_rows", [None, 20])
+def test_rows_of_partial_coverage(spark, task_rows):
+    ref, specs = partly_covered(random.Random(10), 12, 12)
+    # Fewer than 8 positions agree by chance across populations.
+    share, wrong = recall(spark, specs, ref, 8, task_rows=task_rows)
+    assert share >= 0.99 and not wrong
+
+
+def test_components_keep_all_that_can_merge():
+    rng = np.random.default_rng(3)
+    grid = rng.integers(65, 69, (1, 100)).repeat(30, 0).astype(np.uint8)
+    for i in range(1, 30):
+        grid[i] = grid[i - 1]
+        grid[i, rng.integers(0, 100, 4)] = 84
+    a, b, total, links = S.component_links(grid, 0.94)
+    assert len(a) == 30 * 29 // 2 and (total / links).min() < 0.94
+    old, new = S.merge_in_memory(a, b, total, links, 0.94)
+    cluster = dict(zip(range(30), range(30))) | dict(zip(old.tolist(), new.tolist()))
+    members = {}
+    for i, c in cluster.items():
+        members.setdefault(c, []).append(i)
+    between = lambda x, y: np.mean([1 - (grid[i] != grid[j]).mean() for i in x for j in y])
+    assert len(members) > 1 and all(between(x, y) < 0.94 for c, x in members.items() for d, y in members.items() if c < d)
+
+
 def test_a_subpopulation_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 4)
     members = spark.createDataFrame([(i, 1, 0, "ACGT" * 5) for i in range(30)], "row_id bigint, construct_id bigint, subpopulation bigint, content string")
