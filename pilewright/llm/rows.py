@@ -3,33 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNCOVERED, GAP, MATCH = 0, ord("-"), ord(".")
-
-
-def _matrix(strings: list[str], width: int) -> np.ndarray:
-    """Code points, one row a string, padded with 0; bytes where all are ASCII."""
-    try:
-        return np.array(strings, dtype=f"S{max(width, 1)}").view(np.uint8).reshape(len(strings), max(width, 1))
-    except UnicodeEncodeError:
-        return np.array(strings, dtype=f"U{max(width, 1)}").view(np.uint32).reshape(len(strings), max(width, 1))
+#: Cells that are compared one by one rather than by products.
+DIRECT_CELLS = 1 << 18
+
+
+def _matrix(strings: list[str] | pa.Array, width: int | None = None) -> np.ndarray:
+    """Code points, one row a string, cut at ``width`` and padded with 0; bytes where all are ASCII. Null is empty."""
+    if not isinstance(strings, pa.Array):
+        strings = pa.array(strings, pa.string())
+    n = len(strings)
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + n + 1] if n else np.zeros(1, np.int32)
+    length = np.diff(offsets)
+    width = max(1, int(length.max(initial=0)) if width is None else width)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    if len(data) and data.max() > 127:
+        return np.array([(t or "")[:width] for t in strings.to_pylist()], dtype=f"U{width}").view(np.uint32).reshape(n, width)
+    out = np.zeros((n, width), np.uint8)
+    if len(data) and (length > width).any():
+        data = data[np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], length) < width]
+    out[np.arange(width) < length[:, None]] = data
+    return out
 
 
 def _upper(codes: np.ndarray) -> np.ndarray:
     return np.where((codes >= 97) & (codes <= 122), codes - 32, codes)
 
 
-def contents(specs: list[str], refs: list[str]) -> np.ndarray:
+def contents(specs: list[str] | pa.Array, refs: list[str] | pa.Array) -> np.ndarray:
     """``UNCOVERED`` outside a row's first to last called base; inside, its base (upper case) or a gap.
 
     A spec that is longer than its reference is read as far as the reference goes; one that is shorter
     covers nothing beyond its end.
     """
-    width = max(map(len, refs), default=0)
-    ref = _matrix(refs, width)
-    spec = np.where(ref == 0, 0, _matrix([s[: len(r)] for s, r in zip(specs, refs)], width))
+    ref = _matrix(refs)
+    spec = np.where(ref == 0, 0, _matrix(specs, ref.shape[1]))
     called = (spec != GAP) & (spec != 0)
     out = _upper(np.where(spec == MATCH, ref, spec))
     at = np.arange(out.shape[1])
@@ -38,16 +50,19 @@ def contents(specs: list[str], refs: list[str]) -> np.ndarray:
     return np.where((at >= first[:, None]) & (at <= last[:, None]), out, UNCOVERED)
 
 
-def as_strings(matrix: np.ndarray) -> list[str]:
-    """Contents as strings, a space where a row covers nothing; all as wide as the matrix."""
-    codes = np.ascontiguousarray(np.where(matrix == UNCOVERED, 32, matrix).astype(np.uint8 if matrix.dtype == np.uint8 else np.uint32))
-    if codes.dtype == np.uint8:
-        return [t.decode() for t in codes.view(f"S{codes.shape[1]}").ravel().tolist()]
-    return codes.view(f"U{codes.shape[1]}").ravel().tolist()
+def as_strings(matrix: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Contents as strings of the given lengths, a space where a row covers nothing."""
+    codes = np.where(matrix == UNCOVERED, 32, matrix)
+    if codes.dtype != np.uint8:
+        text = np.ascontiguousarray(codes.astype(np.uint32)).view(f"U{codes.shape[1]}").ravel().tolist()
+        return pa.array([t[:n] for t, n in zip(text, length)], pa.string())
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    data = codes[np.arange(codes.shape[1]) < length[:, None]]
+    return pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def from_strings(strings: list[str]) -> np.ndarray:
-    matrix = _matrix(strings, max(map(len, strings), default=1))
+def from_strings(strings: list[str] | pa.Array) -> np.ndarray:
+    matrix = _matrix(strings)
     return np.where(matrix == 32, UNCOVERED, matrix)
 
 
@@ -58,9 +73,11 @@ def differences(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``differences`` of every row of ``a`` with every row of ``b``, by products of 0/1 matrices, one a symbol."""
-    width = max(a.shape[1], b.shape[1])
-    a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+    """``differences`` of every row of ``a`` with every row of ``b``; large ones by products of 0/1 matrices, one a symbol."""
+    if (width := max(a.shape[1], b.shape[1])) != min(a.shape[1], b.shape[1]):
+        a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+    if len(a) * len(b) * width < DIRECT_CELLS:
+        return differences(a[:, None, :], b[None, :, :])
     both = (a != UNCOVERED).astype(np.float32) @ (b != UNCOVERED).astype(np.float32).T
     agree = np.zeros_like(both)
     for symbol in np.intersect1d(a, b):
