@@ -164,7 +164,7 @@ def test_components_keep_all_that_can_merge():
 
 def test_a_subpopulation_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 4)
-    members = spark.createDataFrame([(i, 1, 0, "ACGT" * 5) for i in range(30)], "row_id bigint, construct_id bigint, subpopulation bigint, content string")
+    members = spark.createDataFrame([(i, 1, 0, 30, "ACGT" * 5) for i in range(30)], S.MEMBERS)
     assert S.similar_pairs(members).distinct().count() == 30 * 29 // 2 == S.similar_pairs(members).count()
 
 
@@ -175,11 +175,13 @@ def test_typical_rows_of_a_subpopulation_of_many_blocks(spark, monkeypatch):
     texts = ["".join(rng.choices("AC", (0.52, 0.48))[0] for _ in range(6)) + "G" * 34 for _ in range(300)]
     texts = [" " * rng.randrange(3) + t[2:] if rng.random() < 0.2 else t for t in texts]
     texts = [t.rjust(40) for t in texts]
-    members = spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(texts)], "row_id bigint, construct_id bigint, subpopulation bigint, content string")
+    members = spark.createDataFrame([(i, 1, 0, 300, t) for i, t in enumerate(texts)], S.MEMBERS)
     centre = [max(sorted(set(c) - {" "}), key=c.count) for c in zip(*texts)]
     away = lambda t: sum(x not in (" ", y) for x, y in zip(t, centre)) / len(t.strip())
     want = sorted(range(300), key=lambda i: (away(texts[i]), i))[:3]
     assert [tuple(x) for x in S.describe_subpopulations(members).collect()] == [(1, 0, 300, want)]
+    monkeypatch.setattr(S, "BLOCK_ROWS", 300)
+    assert [tuple(x) for x in S.describe_subpopulations(members).collect()] == [(1, 0, 300, want)]
 
 
 def test_no_subpopulations(spark):
