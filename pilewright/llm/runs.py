@@ -1,10 +1,14 @@
 """Repeated consecutive events in ordered sequences, collapsed by optimal segmentation.
 
 A sequence is cut into runs so that the sum of the dissimilarities within runs plus a penalty for every
-boundary is least. The dissimilarity of a run is the sum of the differences of its neighbours, so the
-dynamic programme ``best[j] = min over i of best[i] + within(i, j) + penalty`` may drop a start ``i`` for
-good as soon as ``best[i] + within(i, j) >= best[j]``: at each event only the best start and the new one
-stay. With a penalty between two whole numbers of differences the optimum is unique.
+boundary is least: ``best[j] = min over i of best[i] + within(i, j) + penalty``. The dynamic programme keeps the starts ``i``
+that can still be optimal and drops one for good as soon as ``best[i] + within(i, j) >= best[j]`` (pruned exact linear time,
+Killick et al. 2012): splitting a run never makes its parts more dissimilar. A run comes out as soon as all starts that are
+left lie behind it, so that the state is what is still open, whatever the length of a sequence.
+
+Two dissimilarities within a run: ``Steps``, the sum of the differences of neighbours, whose optimum with a penalty between
+two whole numbers is unique; and ``Consensus``, the differences of the rows to the run's most frequent symbols, for
+which a slow drift ends a run that no single step would.
 """
 
 from __future__ import annotations
@@ -16,47 +20,100 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pilewright.llm.rows import contents, differences, rows_with_reference
+from pilewright.llm.rows import UNCOVERED, contents, differences, rows_with_reference
 from pilewright.tables import checkpointed
 
 RUN_SCHEMA = "group_id bigint, first_ord bigint, last_ord bigint, n_rows bigint, first_seen timestamp_ntz, last_seen timestamp_ntz, head boolean, tail boolean, head_spec string, tail_spec string, ref_seq string"
 
 
-def segment(costs: np.ndarray, penalty: float) -> np.ndarray:
-    """The start of the run of each event: pruned dynamic programming over one chunk of sequences.
+class Steps:
+    """Dissimilarity of a run that grows by events: the sum of its steps.
 
-    ``costs[j]`` is the dissimilarity of event j to the one before it; infinity parts sequences. Starts
-    are pruned to the candidates that can still be optimal; with costs that add up, a boundary that is
-    open at event j (cost above the penalty) prunes all earlier starts and no other start but the running
-    one survives, so the recursion is evaluated for all events at once.
+    All starts grow alike, so that none that is behind can be optimal again: one start stays.
     """
-    # best[j] + penalty < best[start] + within(start, j) exactly where the last step costs more than a boundary.
-    opens = costs > penalty
-    at = np.arange(len(costs))
-    return np.maximum.accumulate(np.where(opens, at, 0))
-
-
-def segment_general(costs: np.ndarray, penalty: float) -> np.ndarray:
-    """The same optimum by the recursion itself, one event after the other; the measure for ``segment``."""
-    n = len(costs)
-    within = np.concatenate(([0.0], np.cumsum(np.where(np.isinf(costs), 1e12, costs))))
-    best, back = np.zeros(n + 1), np.zeros(n, np.int64)
-    starts: list[int] = []
-    for j in range(n):
-        starts.append(j)
-        # a run of events i..j: the steps i+1..j
-        value = [best[i] + within[j + 1] - within[i + 1] + penalty for i in starts]
-        k = int(np.argmin(value))
-        best[j + 1], back[j] = value[k], starts[k]
-        starts = [i for i, v in zip(starts, value) if v - penalty < best[j + 1]]
-    out, j = np.zeros(n, np.int64), n - 1
-    while j >= 0:
-        out[back[j] : j + 1] = back[j]
-        j = int(back[j]) - 1
-    return out
-
-
-def collapse_runs(rows: DataFrame, groups: DataFrame, most_different: int = 2) -> DataFrame:
+
+    alike = True
+
+    def __init__(self, row: np.ndarray) -> None:
+        self.value = 0.0
+
+    def grow(self, row: np.ndarray, step: float) -> None:
+        self.value += step
+
+
+class Consensus:
+    """Dissimilarity of a run that grows by events: at each position, the events that do not have its most frequent symbol.
+
+    The starts that stay are as many as the events of the open run that are not like its consensus, at most.
+    """
+
+    alike = False
+
+    def __init__(self, row: np.ndarray) -> None:
+        self.counts = np.zeros((len(row), 256), np.int32)
+        self.grow(row, 0)
+
+    def grow(self, row: np.ndarray, step: float) -> None:
+        if len(row) > len(self.counts):
+            self.counts = np.pad(self.counts, ((0, len(row) - len(self.counts)), (0, 0)))
+        at = np.flatnonzero(row != UNCOVERED)
+        self.counts[at, np.minimum(row[at], 255)] += 1
+        self.value = float(self.counts.sum() - self.counts.max(1).sum())
+
+
+class Segmenter:
+    """The pruned dynamic programme over events that come one after the other."""
+
+    def __init__(self, penalty: float, cost: type) -> None:
+        self.penalty, self.cost = penalty, cost
+        self.clear()
+
+    def clear(self) -> None:
+        self.events: list[tuple] = []  # those not yet in a run that came out, in pieces: (first, last, how many)
+        self.best: list[float] = [0.0]  # best[k]: the least sum for the first k of them
+        self.back: list[int] = []  # where the last run begins if the k-th is the last of all
+        self.starts: list[tuple[int, object]] = []
+
+    def push(self, event: tuple, step: float | None, row: np.ndarray) -> list[tuple]:
+        """Adds an event, ``step`` away from the one before it (None: it begins another sequence); the runs that are certain now."""
+        done = self.finish() if step is None and self.events else []
+        at = len(self.events)
+        for _, run in self.starts:
+            run.grow(row, step)
+        self.starts.append((at, self.cost(row)))
+        self.events.append((event, event, 1))
+        least, begin = min((self.best[i] + run.value, i) for i, run in self.starts)
+        self.best.append(least + self.penalty)
+        self.back.append(begin)
+        if len(self.starts) > 1:
+            self.starts = [(i, run) for i, run in self.starts if i == begin or not self.cost.alike and self.best[i] + run.value < least + self.penalty]
+        first = self.starts[0][0]
+        if first and len(self.starts) == 1:
+            # The one start that is left begins a run whatever comes.
+            done += self.upto(first)
+            self.events, self.back, self.best = self.events[first:], [b - first for b in self.back[first:]], self.best[first:]
+            self.starts = [(0, self.starts[0][1])]
+        if len(self.starts) == 1 and len(self.events) > 1:
+            # Nothing within the open run can be a boundary any more: it becomes one piece.
+            self.events, self.back, self.best = [(self.events[0][0], event, sum(n for _, _, n in self.events))], [0], [self.best[0], self.best[-1]]
+        return done
+
+    def upto(self, end: int) -> list[tuple]:
+        """The runs (first event, last event, how many) of the first ``end`` pieces."""
+        runs = []
+        while end > 0:
+            begin = self.back[end - 1]
+            runs.append((self.events[begin][0], self.events[end - 1][1], sum(n for _, _, n in self.events[begin:end])))
+            end = begin
+        return runs[::-1]
+
+    def finish(self) -> list[tuple]:
+        runs = self.upto(len(self.events))
+        self.clear()
+        return runs
+
+
+def collapse_runs(rows: DataFrame, groups: DataFrame, most_different: int = 2, cost: type = Steps) -> DataFrame:
     """Runs of two or more rows: ``group_id, first_ord, last_ord, n_rows, first_seen, last_seen, duration_us``.
 
     Rows of a group are in the order of ``read_ord``; neighbours differ at the positions that both cover and
@@ -67,63 +124,52 @@ def collapse_runs(rows: DataFrame, groups: DataFrame, most_different: int = 2) -
     to the last row's ``seen_at`` and null if one of them is. Empty input gives no rows; other columns are
     not read.
 
-    Rows are range-partitioned by (group, read_ord), so that a group of any size is spread over tasks.
-    Each task segments its part of the line; runs at the edges of parts are joined afterwards, over at
-    most two runs a task.
+    With ``Steps``, rows are range-partitioned by (group, read_ord), so that a group of any size is spread over tasks.
+    Each task segments its part of the line; as the steps of a run add up, the optimum at an edge of parts depends on the
+    step across it alone, and runs at edges are joined afterwards, over at most two runs a task. With ``Consensus`` a group
+    passes through one task, event by event, with no more state than what is open.
     """
     line = rows_with_reference(rows, groups, "read_ord", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"))
-    line = line.select("group_id", "read_ord", "seen_at", "loaded_at", "spec", "ref_seq").repartitionByRange("group_id", "read_ord").sortWithinPartitions("group_id", "read_ord", F.col("loaded_at").asc_nulls_last())
+    line = line.select("group_id", "read_ord", "seen_at", "loaded_at", "spec", "ref_seq")
+    line = line.repartitionByRange("group_id", "read_ord") if cost is Steps else line.repartition("group_id")
+    line = line.sortWithinPartitions("group_id", "read_ord", F.col("loaded_at").asc_nulls_last())
     penalty = most_different + 0.5
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_run: pd.DataFrame | None = None  # the last run so far, which the next batch may carry on
+        segmenter = Segmenter(penalty, cost)
+        before: pd.DataFrame | None = None  # the last row so far
         head = True
+
+        def told(found: list[tuple], tail: bool = False) -> pd.DataFrame:
+            nonlocal head
+            out = []
+            for k, (first, last, n) in enumerate(found):
+                edge = (head and not out, tail and k + 1 == len(found))
+                # Of inner runs only those of two or more rows matter; edges are needed whatever their length.
+                if n > 1 or any(edge):
+                    out.append((first[0], first[1], last[1], n, first[2], last[2], *edge, *((first[3], last[3], first[4]) if any(edge) else (None, None, None))))
+                head = False
+            return pd.DataFrame(out, columns=["group_id", "first_ord", "last_ord", "n_rows", "first_seen", "last_seen", "head", "tail", "head_spec", "tail_spec", "ref_seq"])
+
         for batch in batches:
             if not len(batch):
                 continue
-            batch = batch.drop_duplicates(["group_id", "read_ord"])
-            group, order = batch["group_id"].to_numpy(), batch["read_ord"].to_numpy()
-            specs, refs = batch["spec"].tolist(), batch["ref_seq"].tolist()
-            if open_run is not None:
-                last = open_run.iloc[0]
-                if group[0] == last["group_id"] and order[0] == last["last_ord"]:
-                    batch, group, order, specs, refs = batch.iloc[1:], group[1:], order[1:], specs[1:], refs[1:]
-                    if not len(batch):
-                        continue
-                group, order = np.concatenate(([last["group_id"]], group)), np.concatenate(([last["last_ord"]], order))
-                specs, refs = [last["tail_spec"], *specs], [last["ref_seq"], *refs]
+            known = 0 if before is None else 1
+            batch = (batch if before is None else pd.concat([before, batch])).drop_duplicates(["group_id", "read_ord"])
+            before = batch.tail(1)
+            group, specs, refs = batch["group_id"].to_numpy(), batch["spec"].tolist(), batch["ref_seq"].tolist()
             void = np.array([s is None for s in specs])
             grid = contents([s or "" for s in specs], refs)
-            costs = np.full(len(group), np.inf)
-            costs[1:] = differences(grid[1:], grid[:-1])[1]
-            costs[1:][(group[1:] != group[:-1]) | void[1:] | void[:-1]] = np.inf
-            start = segment(costs, penalty)
-            first = np.flatnonzero(start == np.arange(len(start)))
-            last_of = np.append(first[1:], len(start)) - 1
-            seen = pd.concat([open_run["last_seen"], batch["seen_at"]], ignore_index=True) if open_run is not None else batch["seen_at"].reset_index(drop=True)
-            out = pd.DataFrame({
-                "group_id": group[first], "first_ord": order[first], "last_ord": order[last_of], "n_rows": (last_of - first + 1).astype(np.int64),
-                "first_seen": seen.iloc[first].to_numpy(), "last_seen": seen.iloc[last_of].to_numpy(), "head": False, "tail": False,
-                "head_spec": [specs[i] for i in first], "tail_spec": [specs[i] for i in last_of], "ref_seq": [refs[i] for i in first],
-            })
-            out["head_spec"], out["tail_spec"] = out["head_spec"].astype(object), out["tail_spec"].astype(object)
-            if open_run is not None:
-                for c in ("first_ord", "first_seen", "head", "head_spec"):
-                    out.loc[0, c] = open_run.loc[0, c]
-                out.loc[0, "n_rows"] += open_run.loc[0, "n_rows"] - 1
-            elif head:
-                out.loc[0, "head"] = True
-                head = False
-            open_run = out.tail(1).reset_index(drop=True)
-            done = out.iloc[:-1]
-            # Of inner runs only those of two or more rows matter; edges are needed whatever their length.
-            done = done[(done["n_rows"] > 1) | done["head"]]
-            inner = ~done["head"]
-            done = done.assign(head_spec=done["head_spec"].where(~inner, None), tail_spec=done["tail_spec"].where(~inner, None), ref_seq=done["ref_seq"].where(~inner, None))
-            if len(done):
-                yield done
-        if open_run is not None:
-            yield open_run.assign(tail=True)
+            steps = differences(grid[1:], grid[:-1])[1].astype(float)
+            steps = [None, *np.where((group[1:] != group[:-1]) | void[1:] | void[:-1], None, steps).tolist()]
+            found = []
+            for k, event in enumerate(zip(group.tolist(), batch["read_ord"].tolist(), batch["seen_at"], specs, refs)):
+                if k >= known:
+                    found += segmenter.push(event, steps[k], grid[k])
+            if found:
+                yield told(found)
+        if segmenter.events:
+            yield told(segmenter.finish(), True)
 
     # Each part of the line is segmented once; its runs are read twice.
     found = checkpointed(line.mapInPandas(runs, RUN_SCHEMA))

@@ -7,17 +7,65 @@ from pyspark.sql import functions as F
 from pilewright.llm import subpopulations as S
 from pilewright.llm.queries import foremost_variants
 from pilewright.llm.rows import contents, differences, overlaps
-from pilewright.llm.runs import collapse_runs, segment, segment_general
+from pilewright.llm.runs import Consensus, Segmenter, Steps, collapse_runs
 from pilewright.llm.stable_sample import frozen_sample
 from tests.pileups import ROWS, groups, rows
 
 
-def test_segmentation_is_the_optimum_of_the_recursion():
+def least_cost(n, within, penalty):
+    """The plain recursion over all starts: (least sum, starts of the runs)."""
+    best, back = [0.0], []
+    for j in range(n):
+        value, i = min((best[i] + within(i, j) + penalty, i) for i in range(j + 1))
+        best.append(value)
+        back.append(i)
+    starts, j = [], n
+    while j:
+        j = back[j - 1]
+        starts.append(j)
+    return best[-1], starts[::-1]
+
+
+def pruned(events, steps, penalty, cost):
+    segmenter = Segmenter(penalty, cost)
+    runs = [r for k, row in enumerate(events) for r in segmenter.push((k,), steps[k], row)] + segmenter.finish()
+    return [first[0] for first, _, _ in runs], [k for first, last, n in runs for k in range(first[0], first[0] + n) if k <= last[0]]
+
+
+@pytest.mark.parametrize("cost", [Steps, Consensus])
+def test_segmentation_is_the_optimum_of_the_recursion(cost):
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        costs = rng.integers(0, 6, rng.integers(1, 30)).astype(float)
-        costs[0] = np.inf
-        assert segment(costs, 2.5).tolist() == segment_general(costs, 2.5).tolist()
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        events = np.where(rng.random((n, 12)) < 0.15, rng.integers(65, 69, (n, 12)), 65)
+        for k in range(1, n):
+            if rng.random() < 0.7:
+                events[k] = np.where(rng.random(12) < 0.1, events[k], events[k - 1])
+        steps = [None, *map(float, (events[1:] != events[:-1]).sum(1))]
+
+        def within(i, j):
+            if cost is Steps:
+                return sum(steps[i + 1 : j + 1])
+            part = events[i : j + 1]
+            return sum(len(part) - max(np.unique(c, return_counts=True)[1]) for c in part.T)
+
+        starts, seen = pruned(events, steps, 2.5, cost)
+        assert seen == list(range(n))
+        value = sum(within(a, z - 1) + 2.5 for a, z in zip(starts, [*starts[1:], n]))
+        assert value == least_cost(n, within, 2.5)[0]
+        if cost is Steps:
+            assert starts == [0, *(k for k in range(1, n) if steps[k] > 2)]
+
+
+def test_consensus_ends_a_drift_that_no_step_would(spark):
+    """Each row differs from the one before it at one position, and the last from the first at all."""
+    specs = ["C" * k + "." * (20 - k) for k in range(21)]
+    r, g = rows(spark, specs), groups(spark, "A" * 20)
+    assert [x["n_rows"] for x in collapse_runs(r, g).collect()] == [21]
+    drift = collapse_runs(r, g, cost=Consensus).orderBy("first_ord").collect()
+    assert len(drift) > 1 and sum(x["n_rows"] for x in drift) <= 21
+    same = ["....", "...C", "....", "CCCC", "CCCC"]
+    assert [(x["first_ord"], x["last_ord"]) for x in collapse_runs(rows(spark, same), groups(spark, "AAAA"), cost=Consensus).orderBy("first_ord").collect()] == [(0, 2), (3, 4)]
 
 
 def brute_runs(specs, ref, most=2):
