@@ -54,31 +54,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_runs(spark, sf_dir).select("group_id", "first_ord", "last_ord")
 
 
-def reference_entries(entries: DataFrame, key: str, code: str | None = None) -> list[tuple[int, str, str | None, str | None]]:
-    """A reference list, fixed and small, as (id, name, also called, colour code)."""
-    kept = entries.select(F.col(key).alias("id"), "name", "also_called", (F.col(code) if code else F.lit(None).cast("string")).alias("code"))
-    return [tuple(r) for r in kept.orderBy("id").collect()]
+#: Fields and the lists that they are mapped to: table, key, colour code.
+LISTS = {"type": ("feature_types", "type_id", None), "color": ("color_names", "color_id", "hex")}
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature_id, field, value, ref_id`` of both fields."""
     features = table(spark, sf_dir, "features")
-    lists = {
-        "type": reference_entries(table(spark, sf_dir, "feature_types"), "type_id"),
-        "color": reference_entries(table(spark, sf_dir, "color_names"), "color_id", "hex"),
-    }
-    mapped = [map_to_list(features, "feature_id", c, entries).select(F.col("key").alias("feature_id"), F.lit(c).alias("field"), "ref_id") for c, entries in lists.items()]
-    return mapped[0].unionByName(mapped[1])
+    out = []
+    for field, (name, key, code) in LISTS.items():
+        entries = table(spark, sf_dir, name).select(F.col(key).alias("id"), "name", "also_called", (F.col(code) if code else F.lit(None).cast("string")).alias("code"))
+        out.append(map_to_list(features, "feature_id", field, entries).select(F.col("key").alias("feature_id"), F.lit(field).alias("field"), "value", "ref_id"))
+    return out[0].unionByName(out[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped_features(spark, sf_dir).select("feature_id", "field", "ref_id")
 
 
 def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reported values without an entry, with the number of features that have them."""
-    features = table(spark, sf_dir, "features")
-    out = []
-    for column, name, key, code in (("type", "feature_types", "type_id", None), ("color", "color_names", "color_id", "hex")):
-        entries = reference_entries(table(spark, sf_dir, name), key, code)
-        mapped = map_to_list(features, "feature_id", column, entries).filter(F.col("ref_id") == 0)
-        out.append(mapped.groupBy("value").agg(F.count(F.lit(1)).alias("n_features")).select(F.lit(column).alias("field"), "value", "n_features"))
-    return out[0].unionByName(out[1])
+    return mapped_features(spark, sf_dir).filter(F.col("ref_id") == 0).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_features"))
 
 
 def foremost_variants(variants: DataFrame, n: int = 5) -> DataFrame:

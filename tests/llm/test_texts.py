@@ -160,6 +160,23 @@ TYPES = [(1, "CDS", "coding sequence|coding region", None), (2, "promoter", "pro
 COLORS = [(1, "black", "ink", "#181818"), (2, "sky blue", "azure", "#60a8ec"), (3, "crimson", "deep red", "#a81818")]
 
 
+def listed(spark, entries):
+    return spark.createDataFrame(entries, "id int, name string, also_called string, code string")
+
+
+def test_a_list_of_any_length(spark):
+    """3,000 entries and values; a term that all entries share leads to none of them by itself."""
+    rng = random.Random(9)
+    names = list({"".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(3_000)})
+    entries = [(i + 1, f"{n} region", None, None) for i, n in enumerate(names)]
+    typed = [(i + 1, f"{n[:3]}{n[4:]} Region" if i % 2 else f"{n}-region") for i, n in enumerate(names)]
+    df = spark.createDataFrame(typed, "feature_id bigint, type string")
+    got = map_to_list(df, "feature_id", "type", listed(spark, entries))
+    right, rows = got.agg(F.count_if(F.col("key") == F.col("ref_id")), F.count(F.lit(1))).first()
+    assert rows == len(names) and right > 0.75 * rows
+    assert got.filter(F.col("key") % 2 == 1).filter(F.col("key") != F.col("ref_id")).count() == 0
+
+
 def test_values_to_lists(spark):
     cases = {
         "CDS": None, None: None, " ": None, "\t\xa0": None,
@@ -170,16 +187,16 @@ def test_values_to_lists(spark):
     }
     rows = [(i, v, "clash") for i, v in enumerate(cases)]
     df = spark.createDataFrame(rows, "feature_id bigint, type string, value string")
-    got = {r["value"]: r["ref_id"] for r in map_to_list(df.unionByName(df), "feature_id", "type", TYPES).collect()}
+    got = {r["value"]: r["ref_id"] for r in map_to_list(df.unionByName(df), "feature_id", "type", listed(spark, TYPES)).collect()}
     assert got == {k: v for k, v in cases.items() if v is not None}
-    assert map_to_list(df.limit(0), "feature_id", "type", TYPES).count() == 0
-    assert {r["ref_id"] for r in map_to_list(df.limit(6), "feature_id", "type", []).collect()} == {0}
+    assert map_to_list(df.limit(0), "feature_id", "type", listed(spark, TYPES)).count() == 0
+    assert {r["ref_id"] for r in map_to_list(df.limit(6), "feature_id", "type", listed(spark, [])).collect()} == {0}
 
 
 def test_colours(spark):
     cases = {"#181818": 1, "#111": 1, "0x1f1110": 1, "#202020": 1, "#212121": 0, "RGB(96, 168,236)": 2, "60a8ecff": 2, " Azure ": 2, "dep red": 3, "skyblue": 2, "none": 0, "rgb(1 2 3)": 0, "black": None}
     df = spark.createDataFrame(list(enumerate(cases)), "feature_id bigint, color string")
-    got = {r["value"]: r["ref_id"] for r in map_to_list(df, "feature_id", "color", COLORS).collect()}
+    got = {r["value"]: r["ref_id"] for r in map_to_list(df, "feature_id", "color", listed(spark, COLORS)).collect()}
     assert got == {k: v for k, v in cases.items() if v is not None}
 
 
