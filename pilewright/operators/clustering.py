@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pilewright.operators.pileup import cells_of, signatures
+from pilewright.operators.pileup import signatures
 
 #: 8 bytes x 6,000 x 6,000 are 288 MB.
 MAX_SIGNATURES = 6_000
@@ -163,10 +163,11 @@ def leaves(merges: list[tuple[int, int, float]], n: int) -> list[int]:
 def cluster_order(placed: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """row_id, group_id, place: rows of equal signatures together, in arrival order; arrival order for groups of fewer
     than 3 rows or 2 signatures. ``columns`` (group_id, pos) restricts the positions that count."""
-    cells = cells_of(placed.filter(F.col("first").isNotNull()))
+    signed = signatures(placed).select("row_id", "group_id", "read_ord", "signature")
     if columns is not None:
-        cells = cells.join(columns.select("group_id", "pos").distinct(), ["group_id", "pos"], "left_semi")
-    signed = signatures(placed, cells).withColumnRenamed("group_id", "g").join(placed.select("row_id", "group_id", "read_ord"), "row_id")
+        counting = columns.groupBy(F.col("group_id").alias("g")).agg(F.collect_set("pos").alias("counting"))
+        kept = F.coalesce(F.array_sort(F.array_intersect("signature", "counting")), F.array().cast("array<int>"))
+        signed = signed.join(counting, F.col("group_id") == F.col("g"), "left").select("row_id", "group_id", "read_ord", kept.alias("signature"))
     distinct = signed.groupBy("group_id", "signature").agg(F.min(F.struct("read_ord", "row_id")).alias("seen"), F.count(F.lit(1)).alias("n"))
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
@@ -186,17 +187,6 @@ def cluster_order(placed: DataFrame, columns: DataFrame | None = None) -> DataFr
     return joined.select("row_id", "group_id", F.row_number().over(Window.partitionBy("group_id").orderBy("slot", "read_ord", "row_id")).alias("place"))
 
 
-def signature_distances(placed: DataFrame, group_ids: DataFrame | None = None) -> DataFrame:
-    """group_id, a, b, distance of the distinct signatures of small groups, named by their first rows (a < b in arrival)."""
-    kept = placed if group_ids is None else placed.join(group_ids, "group_id", "left_semi")
-    signed = signatures(kept, cells_of(kept.filter(F.col("first").isNotNull())))
-    distinct = signed.groupBy("group_id", "signature").agg(F.min("row_id").alias("row"))
-    a = distinct.select("group_id", F.col("row").alias("a"), F.col("signature").alias("sa"))
-    b = distinct.select("group_id", F.col("row").alias("b"), F.col("signature").alias("sb"))
-    away = F.size(F.array_except("sa", "sb")) + F.size(F.array_except("sb", "sa"))
-    return a.join(b, "group_id").filter(F.col("a") < F.col("b")).select("group_id", "a", "b", away.alias("distance"))
-
-
 def nearest_signatures(placed: DataFrame) -> DataFrame:
     """group_id, row, n_rows, nearest, distance: every distinct signature of every group, named by its least row_id, with
     the nearest other one of its group (the least name of equals); null where the group has no other.
@@ -204,7 +194,7 @@ def nearest_signatures(placed: DataFrame) -> DataFrame:
     Blocks of a group are compared with its blocks, so that a hot group is spread over tasks; one row a signature and
     block is shuffled, and no pair comes out.
     """
-    signed = signatures(placed, cells_of(placed.filter(F.col("first").isNotNull())))
+    signed = signatures(placed)
     distinct = signed.groupBy("group_id", "signature").agg(F.min("row_id").alias("row"), F.count(F.lit(1)).alias("n_rows"))
     sizes = distinct.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIGNATURES).alias("blocks"))
     spread = distinct.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import pandas as pd
@@ -110,17 +111,22 @@ def plan_lanes(pieces: pd.DataFrame, max_lanes: int = 3, gap: float = 0.75) -> p
     by_feature = {k: (g["type"].iloc[0], sorted(zip(g["start"], g["end"]))) for k, g in pieces.groupby("feature_id", sort=True)}
 
     def pack(ids: list[int]) -> dict[int, int]:
-        lanes: list[list[tuple[float, float]]] = []
+        lanes: list[list[tuple[float, float]]] = []  # of each lane the spans, apart from each other, in order
         out = {}
         for i in sorted(ids, key=lambda i: (by_feature[i][1][0][0], -sum(e - s for s, e in by_feature[i][1]), i)):
             spans = by_feature[i][1]
-            lane = next((k for k, used in enumerate(lanes) if all(e + gap <= a or z + gap <= s for s, e in spans for a, z in used)), len(lanes))
+            lane = next((k for k, used in enumerate(lanes) if all(is_free(used, s, e) for s, e in spans)), len(lanes))
             if lane == len(lanes):
                 lanes.append([])
-            lanes[lane] += spans
+            for span in spans:
+                bisect.insort(lanes[lane], span)
             out[i] = lane
         return out
 
+    def is_free(used: list[tuple[float, float]], start: float, end: float) -> bool:
+        at = bisect.bisect(used, (start, end))
+        return (at == 0 or used[at - 1][1] + gap <= start) and (at == len(used) or end + gap <= used[at][0])
+
     kept = list(by_feature)
     if len(set(pack(kept).values())) > max_lanes:
         kept = []
@@ -149,9 +155,22 @@ def widest_piece(spans: DataFrame) -> DataFrame:
     return spans.withColumn("n", F.row_number().over(order)).filter(F.col("n") == 1).select("feature_id", "piece")
 
 
-def label_room(drawn: DataFrame, ref_len: int) -> DataFrame:
-    """Adds ``room``: bases from a piece's end to the next piece of its lane (construct_id, lane, start, end), or the reference's end."""
-    order = Window.partitionBy("construct_id", "lane").orderBy("start")
-    return drawn.withColumn("room", F.coalesce(F.lead("start").over(order), F.lit(ref_len)) - F.col("end"))
-
+def place_labels(drawn: DataFrame, ref_len: Column, advance: float = 5.2, cell: float = 4.0, inset: float = 4.0, outset: float = 5.0) -> DataFrame:
+    """Adds ``label_place`` to the drawn pieces (construct_id, feature_id, piece, lane, start, end, label): ``in``, ``after`` or ``none``.
 
+    A label stands on its feature's widest piece, inside if there is room, else after it if the next piece of the lane, or the
+    end of the reference, is far enough. A character is ``advance`` wide, a base ``cell``.
+    """
+    lane = Window.partitionBy("construct_id", "lane").orderBy("start", "end", "feature_id", "piece")
+    feature = Window.partitionBy("construct_id", "feature_id").orderBy(F.desc(F.col("end") - F.col("start")), "piece")
+    text = F.length("label") * advance
+    room = (F.coalesce(F.lead("start").over(lane), ref_len) - F.col("end")) * cell - outset
+    place = F.when(F.row_number().over(feature) > 1, "none").when(text + 2 * inset <= (F.col("end") - F.col("start")) * cell, "in").when(room >= text, "after").otherwise("none")
+    return drawn.withColumn("label_place", place)
+
+
+def dropped_names(lanes: DataFrame, features: DataFrame) -> DataFrame:
+    """construct_id, dropped, names: how many features had no room, and their distinct labels (or types), sorted."""
+    named = features.select(F.col("feature_id").alias("f"), F.coalesce(F.when(F.col("label") != "", F.col("label")), "type").alias("label"))
+    left_out = lanes.filter(F.col("lane") < 0).join(named, F.col("feature_id") == F.col("f"))
+    return left_out.groupBy("construct_id").agg(F.count(F.lit(1)).alias("dropped"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("names"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUOTE, COMMA, CR = 34, 44, 13
+#: Digits that a 64-bit number surely holds.
+LONG_NUMBER = 18
 
 COLUMNS, QUOTING, VALUE = "columns", "quoting", "value"
 
@@ -96,9 +98,15 @@ def length_of(seq: int) -> Callable[[Fields, int], np.ndarray]:
         n = f.length[:, k]
         ok = (n > 0) & (f.count(k, _DIGIT) == n)
         value = np.zeros(len(n), np.int64)
-        for i in range(int(n[ok].max(initial=0))):
-            more = ok & (i < n)
-            value[more] = np.minimum(value[more] * 10 + (f.byte(k, i)[more].astype(np.int64) - 48), 1 << 50)
+        plain = ok & (n <= LONG_NUMBER)
+        for i in range(int(n[plain].max(initial=0))):
+            more = plain & (i < n)
+            value[more] = value[more] * 10 + (f.byte(k, i)[more].astype(np.int64) - 48)
+        for i in np.flatnonzero(ok & ~plain):
+            # Longer ones are such a length only if all but their last digits are zeros.
+            s = f.start[i, k]
+            digits = f.data[s : s + n[i]].tobytes().lstrip(b"0")
+            value[i] = int(digits or b"0") if len(digits) <= LONG_NUMBER else -1
         return ok & (value == f.length[:, seq])
 
     return check

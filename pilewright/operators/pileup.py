@@ -8,9 +8,11 @@ positions x alphabet, whatever the depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pilewright.functions.scales import mismatch_level
+
 GAP = "-"
 
 
@@ -36,12 +38,16 @@ def cells(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return cells_of(placed)
 
 
-def cells_of(placed: DataFrame) -> DataFrame:
-    # Codes and reference bases are exploded together: a cell carries two letters, not the whole reference.
+def covered_letters() -> Column:
+    """Of a placed row: the array of (code, ref) over its covered span; null for a row that called nothing."""
     n = F.col("last") - F.col("first") + 1
     letters = lambda c: F.split(F.upper(F.substring(F.col(c), F.col("first") + 1, n)), "")
-    pairs = F.arrays_zip(letters("spec").alias("code"), letters("ref_seq").alias("ref"))
-    long = placed.select("row_id", "group_id", "read_ord", "first", F.posexplode(pairs).alias("i", "c"))
+    return F.arrays_zip(letters("spec").alias("code"), letters("ref_seq").alias("ref"))
+
+
+def cells_of(placed: DataFrame) -> DataFrame:
+    # Codes and reference bases are exploded together: a cell carries two letters, not the whole reference.
+    long = placed.select("row_id", "group_id", "read_ord", "first", F.posexplode(covered_letters()).alias("i", "c"))
     return long.select(
         "row_id",
         "group_id",
@@ -53,6 +59,20 @@ def cells_of(placed: DataFrame) -> DataFrame:
     )
 
 
+def base_counts(cells: DataFrame) -> DataFrame:
+    """group_id, pos, ref_base, base, n: the one reduction of the cells that statistics and variants are taken from."""
+    return cells.groupBy("group_id", "pos", "ref_base", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_positions(counts: DataFrame) -> DataFrame:
+    """``position_stats`` of base counts, with ``ref_base`` and ``alts``: the other called bases (base, n) of each position."""
+    n = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0).cast("bigint"))
+    other = (F.col("base") != GAP) & (F.col("base") != F.col("ref_base"))
+    return counts.groupBy("group_id", "pos").agg(
+        F.sum("n").alias("depth"), n(F.col("base") == F.col("ref_base")).alias("matches"), n(F.col("base") == GAP).alias("deletions"), F.first("ref_base").alias("ref_base"), F.collect_list(F.when(other, F.struct("base", "n"))).alias("alts")
+    )
+
+
 def position_stats(cells: DataFrame) -> DataFrame:
     """group_id, pos, depth (called + deleted), matches, deletions of every covered position."""
     return cells.groupBy("group_id", "pos").agg(
@@ -88,6 +108,15 @@ def mismatch_runs(mismatches: DataFrame) -> DataFrame:
     )
 
 
+def track_segments(mismatches: DataFrame) -> DataFrame:
+    """group_id, start, end (half-open), level: adjacent positions of the same fraction as one segment of the mismatch track."""
+    order = Window.partitionBy("group_id").orderBy("pos")
+    opens = F.coalesce((F.col("fraction") != F.lag("fraction").over(order)).cast("bigint"), F.lit(1).cast("bigint"))
+    numbered = mismatches.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
+    segments = numbered.groupBy("group_id", "segment").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("fraction").alias("fraction"))
+    return segments.select("group_id", "start", "end", F.round(mismatch_level(F.col("fraction")), 6).alias("level"))
+
+
 def group_summary(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """Per group: covered positions, mean depth over them, max depth, identity of called bases (null if none)."""
     per_group = stats.groupBy("group_id").agg(
@@ -140,11 +169,16 @@ def depth_profile(stats: DataFrame, groups: DataFrame, columns: int = 1000) -> D
     return full.groupBy("group_id", bucket.cast("int").alias("bucket")).agg(F.min("depth").alias("depth"))
 
 
-def deletion_runs(cells: DataFrame) -> DataFrame:
-    """row_id, group_id, start, end (half-open) of each run of deleted positions inside a row."""
-    order = Window.partitionBy("row_id").orderBy("pos")
-    gaps = cells.filter(F.col("base") == GAP).select("row_id", "group_id", "pos", (F.col("pos") - F.row_number().over(order)).alias("island"))
-    return gaps.groupBy("row_id", "group_id", "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("island")
+def deletion_runs(placed: DataFrame) -> DataFrame:
+    """row_id, group_id, start, end (half-open) of each run of deleted positions inside a row; rows are not shuffled."""
+    core = F.substring(F.col("spec"), F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    # Within the covered span, gaps and called letters take turns, beginning and ending with letters.
+    gaps, called = F.filter(F.split(core, "[^-]+"), lambda g: g != ""), F.filter(F.split(core, "-+"), lambda g: g != "")
+    runs = placed.filter(F.col("first").isNotNull()).select("row_id", "group_id", "first", F.transform(gaps, F.length).alias("gaps"), F.transform(called, F.length).alias("called"))
+    before = lambda array, k: F.aggregate(F.slice(array, 1, k), F.lit(0), lambda acc, x: acc + x)
+    start = lambda g, k: F.col("first") + before("called", k + 1) + before("gaps", k)
+    spans = F.transform("gaps", lambda g, k: F.struct(start(g, k).alias("start"), (start(g, k) + g).alias("end")))
+    return runs.select("row_id", "group_id", F.inline(spans))
 
 
 def variable_columns(cells: DataFrame) -> DataFrame:
@@ -152,19 +186,19 @@ def variable_columns(cells: DataFrame) -> DataFrame:
     return cells.filter((F.col("base") != GAP) & (F.col("base") != F.col("ref_base"))).select("group_id", "pos").distinct()
 
 
-def signatures(placed: DataFrame, cells: DataFrame) -> DataFrame:
-    """row_id, group_id, signature: the sorted positions at which the row calls another base; deletions are none."""
-    off = cells.filter((F.col("base") != GAP) & (F.col("base") != F.col("ref_base"))).groupBy("row_id").agg(F.array_sort(F.collect_list("pos")).alias("signature"))
-    return placed.select("row_id", "group_id").join(off, "row_id", "left").select("row_id", "group_id", F.coalesce("signature", F.array().cast("array<int>")).alias("signature"))
+def signatures(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``signature``: the sorted positions at which the row calls another base; deletions are none."""
+    other = lambda c: (c["code"] != ".") & (c["code"] != GAP) & (c["code"] != c["ref"])
+    at = F.transform(covered_letters(), lambda c, i: F.when(other(c), F.col("first") + i))
+    return placed.withColumn("signature", F.coalesce(F.filter(at, lambda p: p.isNotNull()), F.array().cast("array<int>")))
 
 
-def packed_rows(cells: DataFrame, placed: DataFrame) -> DataFrame:
+def packed_rows(placed: DataFrame) -> DataFrame:
     """row_id, group_id, packed: the page's row text: ``.`` match, ``-`` gap or uncovered, else the base."""
-    char = F.when(F.col("base") == F.col("ref_base"), F.lit(".")).otherwise(F.col("base"))
-    core = cells.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", char.alias("ch")))), lambda s: s["ch"]), "").alias("core"))
-    joined = placed.join(core, "row_id", "left")
-    left = F.when(F.col("core").isNull(), F.repeat(F.lit(GAP), F.col("ref_len"))).otherwise(F.concat(F.repeat(F.lit(GAP), F.col("first")), "core", F.repeat(F.lit(GAP), F.col("ref_len") - F.col("last") - 1)))
-    return joined.select("row_id", "group_id", left.alias("packed"))
+    core = F.array_join(F.transform(covered_letters(), lambda c: F.when(c["code"] == c["ref"], F.lit(".")).otherwise(c["code"])), "")
+    gaps = lambda n: F.repeat(F.lit(GAP), n)
+    packed = F.when(F.col("first").isNull(), gaps(F.col("ref_len"))).otherwise(F.concat(gaps(F.col("first")), core, gaps(F.col("ref_len") - F.col("last") - 1)))
+    return placed.select("row_id", "group_id", packed.alias("packed"))
 
 
 def parent_rows(groups: DataFrame) -> DataFrame:
@@ -182,6 +216,13 @@ def width_errors(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return spec.select(F.lit("row").alias("kind"), F.col("row_id").alias("id"), "width", "ref_len").unionByName(parent.select(F.lit("parent").alias("kind"), F.col("g").alias("id"), F.col("parent_len").alias("width"), "ref_len"))
 
 
+def check_widths(rows: DataFrame, groups: DataFrame) -> None:
+    """Raises ValueError if a spec or a parent is not as wide as its reference, naming up to three of them."""
+    wrong = width_errors(rows, groups).limit(3).collect()
+    if wrong:
+        raise ValueError("not as wide as the reference: " + ", ".join(f"{r['kind']} {r['id']} ({r['width']} of {r['ref_len']})" for r in wrong))
+
+
 def fold_doubled(left: DataFrame, key: str = "row_id") -> DataFrame:
     """Cells aligned to a doubled reference (key, pos, base, ref_base, ref_len of one copy) folded onto one copy.
 

@@ -12,12 +12,11 @@ from pilewright.operators.pileup import GAP
 SEVERITY = ("frameshift", "nonsense", "inframe_indel", "missense", "silent", "noncoding")
 
 
-def call_snvs(cells: DataFrame, stats: DataFrame, min_fraction: float = 0.25, min_count: int = 2, min_depth: int = 3) -> DataFrame:
-    """group_id, pos, kind, ref, alt, count, depth of every alternative base that passes the three floors."""
-    alts = cells.filter((F.col("base") != GAP) & (F.col("base") != F.col("ref_base"))).groupBy("group_id", "pos", "ref_base", "base").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count)
-    joined = alts.join(stats.filter(F.col("depth") >= min_depth).select("group_id", "pos", "depth"), ["group_id", "pos"])
-    passing = joined.filter(F.col("count") / F.col("depth") >= min_fraction)
-    return passing.select("group_id", "pos", F.lit("snv").alias("kind"), F.col("ref_base").alias("ref"), F.col("base").alias("alt"), "count", "depth")
+def call_snvs(counted: DataFrame, min_fraction: float = 0.25, min_count: int = 2, min_depth: int = 3) -> DataFrame:
+    """group_id, pos, kind, ref, alt, count, depth of every alternative base of ``counted_positions`` that passes the three floors."""
+    alts = counted.filter(F.col("depth") >= min_depth).select("group_id", "pos", "depth", "ref_base", F.explode("alts").alias("alt"))
+    passing = alts.filter((F.col("alt.n") >= min_count) & (F.col("alt.n") / F.col("depth") >= min_fraction))
+    return passing.select("group_id", "pos", F.lit("snv").alias("kind"), F.col("ref_base").alias("ref"), F.col("alt.base").alias("alt"), F.col("alt.n").alias("count"), "depth")
 
 
 def call_deletions(stats: DataFrame, runs: DataFrame, groups: DataFrame, min_fraction: float = 0.25, min_count: int = 2, min_depth: int = 3) -> DataFrame:
@@ -31,10 +30,10 @@ def call_deletions(stats: DataFrame, runs: DataFrame, groups: DataFrame, min_fra
         .agg(F.min("pos").alias("pos"), (F.max("pos") + 1).alias("to"), F.min("deletions").alias("least"), F.min_by("depth", "pos").alias("depth"))
         .drop("island")
     )
-    # A run that covers an island has all of its positions: rows are joined at the island's first one only.
-    at = runs.select(F.col("group_id").alias("rg"), "row_id", "start", "end")
-    whole = islands.join(at, (F.col("group_id") == F.col("rg")) & (F.col("start") <= F.col("pos")) & (F.col("end") >= F.col("to")), "left")
-    counted = whole.groupBy("group_id", "pos", "to", "least", "depth").agg(F.count("row_id").alias("whole"))
+    # Runs are counted by their ends first: what is joined is bounded by the width of the reference, not by its depth.
+    ends = runs.groupBy(F.col("group_id").alias("rg"), "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    whole = islands.join(ends, (F.col("group_id") == F.col("rg")) & (F.col("start") <= F.col("pos")) & (F.col("end") >= F.col("to")), "left")
+    counted = whole.groupBy("group_id", "pos", "to", "least", "depth").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("whole"))
     count = F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("least"))
     named = groups.select(F.col("group_id").alias("g"), F.upper("ref_seq").alias("ref_seq"))
     called = counted.withColumn("count", count).filter(F.col("count") >= min_count).join(named, F.col("group_id") == F.col("g"))
@@ -101,12 +100,33 @@ def verdicts(variants: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.select("group_id").join(worst, "group_id", "left").select("group_id", verdict.alias("verdict"))
 
 
-def variant_table(variants: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` variants of each group by (severity, fraction descending, pos), with ``rank_no`` and how many there are."""
-    order = Window.partitionBy("group_id").orderBy(severity(F.col("consequence")), F.desc("fraction"), "pos", "kind", "alt")
+def variant_table(variants: DataFrame, limit: int = 50, ties: tuple[str, ...] = ("kind", "alt")) -> DataFrame:
+    """The first ``limit`` variants of each group by (severity, fraction descending, pos, ``ties``), with ``rank_no`` and ``of``, how many there are."""
+    order = Window.partitionBy("group_id").orderBy(severity(F.col("consequence")), F.desc("fraction"), "pos", *ties)
     counts = variants.groupBy(F.col("group_id").alias("g")).agg(F.count(F.lit(1)).alias("of"))
     top = variants.withColumn("rank_no", F.row_number().over(order)).filter(F.col("rank_no") <= limit)
-    return top.join(counts, F.col("group_id") == F.col("g")).drop("g")
+    return top.join(counts, F.col("group_id").eqNullSafe(F.col("g"))).drop("g")
+
+
+def lollipop_tiers(variants: DataFrame, apart: float = 11.0, tiers: int = 3, cell: float = 4.0) -> DataFrame:
+    """Adds ``tier``: the lowest on which a variant's head is ``apart`` units from the one before it, else the highest.
+
+    Variants of a group follow each other by (pos, kind, alt), at the middles of cells of ``cell`` units; a group's variants
+    are bounded by its reference, not by its depth.
+    """
+    entry = F.struct("pos", "kind", "alt", F.struct(*variants.columns).alias("row"))
+    ordered = variants.groupBy("group_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select("entries")
+    state = F.struct(F.array_repeat(F.lit(-1e9), tiers).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        x = (v["pos"] + 0.5) * cell
+        free = F.filter(F.sequence(F.lit(0), F.lit(tiers - 1)), lambda t: x - F.get(acc["last"], t) >= apart)
+        tier = F.get(free, F.lit(0))
+        last = F.when(tier.isNull(), acc["last"]).otherwise(F.transform(acc["last"], lambda y, t: F.when(t == tier, x).otherwise(y)))
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.coalesce(tier, F.lit(tiers - 1)))).alias("out"))
+
+    found = F.aggregate("entries", state, step, lambda acc: acc["out"])
+    return ordered.select(F.explode(F.arrays_zip("entries", found.alias("tiers"))).alias("e")).select("e.entries.row.*", F.col("e.tiers").alias("tier"))
 
 
 def status_tier(status: Column, highlighted: Column) -> Column:

@@ -75,15 +75,58 @@ def reads_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reads(spark, sf_dir).groupBy("file").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"))
 
 
+def dropped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of each construct that its track has no room for."""
+    return features.dropped_names(track_plan(spark, sf_dir), _features(spark, sf_dir))
+
+
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the labels of all pieces stand if features are dealt to three lanes in order."""
+    named = _features(spark, sf_dir).select(F.col("feature_id").alias("f"), (F.col("feature_ord") % 3).alias("lane"), F.coalesce("label", "type", F.lit("")).alias("label"))
+    sizes = table(spark, sf_dir, "constructs").select(F.col("construct_id").alias("c"), F.length("seq").alias("n"))
+    drawn = feature_spans(spark, sf_dir).join(named, F.col("feature_id") == F.col("f")).join(sizes, F.col("construct_id") == F.col("c"))
+    return features.place_labels(drawn, F.col("n")).select("feature_id", "piece", "label_place")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as alignments: row_id, flag, start, cigar, seq, ref_len.
+
+    Every operation occurs: clips of both kinds at the ends, two inserted bases after the first run, gaps as D or N, and
+    called bases as M or as = and X.
+    """
+    placed = pileup.placed_rows(table(spark, sf_dir, "pileup_rows"), table(spark, sf_dir, "pileup_groups")).filter(F.col("first").isNotNull())
+    base = lambda c: F.when(c["code"] == ".", c["ref"]).otherwise(c["code"])
+    plain = F.col("row_id") % 3 == 0
+    kind = lambda c: F.when(c["code"] == pileup.GAP, F.when(F.col("row_id") % 2 == 0, "D").otherwise("N")).when(plain, "M").when(base(c) == c["ref"], "=").otherwise("X")
+    kinds = F.array_join(F.transform(pileup.covered_letters(), kind), "")
+    bases = F.array_join(F.transform(pileup.covered_letters(), base), "")
+    runs = F.regexp_extract_all(F.col("kinds"), F.lit("(M+|=+|X+|D+|N+)"), F.lit(1))
+    told = placed.select("row_id", "ref_len", F.col("first").alias("start"), kinds.alias("kinds"), F.replace(bases, F.lit(pileup.GAP), F.lit("")).alias("bases")).withColumn("runs", runs)
+    operations = F.transform("runs", lambda r, i: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1), F.when(i == 0, "2I").otherwise("")))
+    first = F.length(F.get("runs", F.lit(0)))
+    seq = F.concat(F.lit("NN"), F.substring(F.col("bases"), F.lit(1), first), F.lit("GG"), F.substring(F.col("bases"), first + 1, F.length("bases")), F.lit("T"))
+    return told.select("row_id", ((F.col("row_id") * 37) % 4096).cast("int").alias("flag"), "start", F.concat(F.lit("1H2S"), F.array_join(operations, ""), F.lit("1S3H")).alias("cigar"), seq.alias("seq"), "ref_len")
+
+
 def cigar_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written as alignments (start, CIGAR, bases) and projected back onto reference coordinates."""
+    """Rows written as alignments and projected back onto reference coordinates."""
+    return sam.project(_records(spark, sf_dir), F.col("ref_len"), ("row_id",))
+
+
+def spanning_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments that are primary, named in a table, and cross position 75 from both sides."""
+    records = _records(spark, sf_dir).withColumn("name", F.concat(F.lit("g"), (F.col("row_id") % 7).cast("string")))
+    names = table(spark, sf_dir, "pileup_groups").filter(F.col("group_id") % 7 < 5).select(F.concat(F.lit("g"), (F.col("group_id") % 7).cast("string")).alias("name"))
+    return sam.spanning(sam.restricted(sam.primary(records), names), sam.midpoint_of(150, -1)).select("row_id")
+
+
+def folded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells seen in either half of a doubled reference, folded: the first half has even positions, the second every third."""
     placed = pileup.placed_rows(table(spark, sf_dir, "pileup_rows"), table(spark, sf_dir, "pileup_groups")).filter(F.col("first").isNotNull())
-    text = pileup.cells_of(placed).groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda s: s["base"]), "").alias("bases"))
-    runs = F.regexp_extract_all(F.col("bases"), F.lit("(-+|[^-]+)"), F.lit(1))
-    cigar = F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.when(F.substring(r, 1, 1) == "-", "D").otherwise("M"))), "")
-    records = placed.select("row_id", "ref_len", F.col("first").alias("start")).join(text, "row_id")
-    records = records.select("row_id", "ref_len", "start", cigar.alias("cigar"), F.replace(F.col("bases"), F.lit("-"), F.lit("")).alias("seq"))
-    return sam.project(records, F.col("ref_len"), ("row_id",))
+    cells = pileup.cells_of(placed).join(placed.select(F.col("row_id").alias("r"), "ref_len"), F.col("row_id") == F.col("r"))
+    seen = lambda every: F.when(F.col("pos") % every == 0, F.col("base")).otherwise(pileup.GAP).alias("base")
+    halves = cells.select("row_id", "pos", seen(2), "ref_base", "ref_len").unionByName(cells.select("row_id", (F.col("pos") + F.col("ref_len")).alias("pos"), seen(3), "ref_base", "ref_len"))
+    return pileup.fold_doubled(halves).select("row_id", "pos", "base")
 
 
 QUERIES = {
@@ -101,6 +144,10 @@ QUERIES = {
     "sample_per_file": sample_per_file,
     "reads_per_file": reads_per_file,
     "cigar_projection": cigar_projection,
+    "spanning_records": spanning_records,
+    "folded_cells": folded_cells,
+    "dropped_features": dropped_features,
+    "label_places": label_places,
 }
 
 from pilewright.plans.pileup_queries import _CELLS, _CODONS  # noqa: E402
@@ -136,5 +183,12 @@ ORACLES = {
     "pooled_sample": f"WITH {_READS} SELECT file, ord, name FROM r ORDER BY md5('0|' || file || '|' || ord), file, ord LIMIT 500",
     "sample_per_file": f"WITH {_READS} SELECT file, ord, seen FROM (SELECT *, count(*) OVER (PARTITION BY file) AS seen, row_number() OVER (PARTITION BY file ORDER BY md5('0|' || file || '|' || ord), ord) AS k FROM r) WHERE k <= 20",
     "reads_per_file": f"WITH {_READS} SELECT file, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM r GROUP BY file",
+    "spanning_records": f"WITH {_CELLS} SELECT row_id FROM placed WHERE z > 0 AND ((row_id * 37) % 4096) & 2308 = 0 AND a < 75 AND z > 75 AND row_id % 7 IN (SELECT group_id % 7 FROM pileup_groups WHERE group_id % 7 < 5)",
+    "folded_cells": f"WITH {_CELLS} SELECT row_id, pos, CASE WHEN pos % 2 = 0 OR pos % 3 = 0 THEN base ELSE '-' END AS base FROM cells",
+    "label_places": f"""WITH {_SPANS},
+      drawn AS (SELECT s.*, feature_ord % 3 AS lane, length(coalesce(label, type, '')) * 5.2 AS w, n FROM spans s JOIN fl USING (feature_id)),
+      laid AS (
+        SELECT *, lead("start") OVER (PARTITION BY construct_id, lane ORDER BY "start", "end", feature_id, piece) AS next, row_number() OVER (PARTITION BY feature_id ORDER BY "end" - "start" DESC, piece) AS k FROM drawn)
+      SELECT feature_id, piece, CASE WHEN k > 1 THEN 'none' WHEN w + 8 <= 4 * ("end" - "start") THEN 'in' WHEN 4 * (coalesce(next, n) - "end") - 5 >= w THEN 'after' ELSE 'none' END AS label_place FROM laid""",
     "cigar_projection": f"WITH {_CELLS} SELECT row_id, pos, base FROM cells",
 }

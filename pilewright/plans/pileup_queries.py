@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pilewright.functions.codon import translate
 from pilewright.functions.scales import mismatch_level, window_bounds
-from pilewright.operators import clustering, features, orderings, pileup, variants
+from pilewright.operators import clustering, features, orderings, pileup, proteins, variants
 from pilewright.tables import table
 
 
@@ -30,10 +30,14 @@ class Pileup:
     def stats(self) -> DataFrame:
         return pileup.position_stats(self.cells)
 
+    @property
+    def counted(self) -> DataFrame:
+        return pileup.counted_positions(pileup.base_counts(self.cells))
+
     @property
     def called(self) -> DataFrame:
-        cells, stats = self.cells, self.stats
-        return variants.call_snvs(cells, stats).unionByName(variants.call_deletions(stats, pileup.deletion_runs(cells), self.groups))
+        counted = self.counted
+        return variants.call_snvs(counted).unionByName(variants.call_deletions(counted, pileup.deletion_runs(self.placed), self.groups))
 
     @property
     def classified(self) -> DataFrame:
@@ -88,7 +92,7 @@ def depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deletion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.deletion_runs(Pileup(spark, sf_dir).cells)
+    return pileup.deletion_runs(Pileup(spark, sf_dir).placed)
 
 
 def variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +100,11 @@ def variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pileup(spark, sf_dir)
-    s = pileup.signatures(p.placed, p.cells)
-    return s.select("row_id", "group_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+    return pileup.signatures(Pileup(spark, sf_dir).placed).select("row_id", "group_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pileup(spark, sf_dir)
-    return pileup.packed_rows(p.cells, p.placed)
+    return pileup.packed_rows(Pileup(spark, sf_dir).placed)
 
 
 def parent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +117,12 @@ def width_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def called_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pileup(spark, sf_dir)
-    return variants.call_snvs(p.cells, p.stats)
+    return variants.call_snvs(Pileup(spark, sf_dir).counted)
 
 
 def called_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pileup(spark, sf_dir)
-    return variants.call_deletions(p.stats, pileup.deletion_runs(p.cells), p.groups)
+    return variants.call_deletions(p.counted, pileup.deletion_runs(p.placed), p.groups)
 
 
 def called_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +157,7 @@ def variant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = table(spark, sf_dir, "variants").drop("loaded_at").dropDuplicates(["variant_id"])
     v = once.select("variant_id", "group_id", "pos", "kind", "ref", "alt", "count", "depth", F.lower(F.trim("consequence")).alias("consequence"))
     v = v.withColumn("fraction", F.when(F.col("depth") > 0, F.coalesce("count", F.lit(0)) / F.col("depth")).otherwise(F.lit(0.0)))
-    order = [variants.severity(F.col("consequence")), F.desc("fraction"), "pos", "variant_id"]
-    from pyspark.sql import Window
-
-    top = v.withColumn("rank_no", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).filter(F.col("rank_no") <= 50)
-    return top.select("group_id", "rank_no", "variant_id")
+    return variants.variant_table(v, 50, ("variant_id",)).select("group_id", "rank_no", "variant_id", "of")
 
 
 def ordering(name: str):
@@ -187,14 +183,6 @@ def variant_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderings.interesting_first(p.cells, p.placed, windows, limit=16)
 
 
-def signature_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances within groups of up to twenty rows: the inputs of a small dendrogram."""
-    p = Pileup(spark, sf_dir)
-    placed = p.placed
-    small = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= 20).select("group_id")
-    return clustering.signature_distances(placed, small)
-
-
 def nearest_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances within all groups, whatever their size: one row a signature instead of one a pair."""
     return clustering.nearest_signatures(Pileup(spark, sf_dir).placed)
@@ -208,6 +196,26 @@ def translated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("group_id", translate(coding).alias("protein"))
 
 
+def group_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference, consensus and parent of each group's frame as proteins."""
+    p = Pileup(spark, sf_dir)
+    return proteins.group_proteins(features.reading_frames(p.features, p.groups), pileup.consensus(p.cells), p.groups)
+
+
+def residue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proteins.residue_changes(group_proteins(spark, sf_dir))
+
+
+def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mismatch track's segments of equal height."""
+    p = Pileup(spark, sf_dir)
+    return pileup.track_segments(pileup.mismatch_counts(p.stats, p.groups))
+
+
+def lollipop_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.lollipop_tiers(Pileup(spark, sf_dir).classified).select("group_id", "pos", "kind", "alt", "tier")
+
+
 def covered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = Pileup(spark, sf_dir).cells
     return cells.filter(F.col("base") != pileup.GAP).groupBy("group_id").agg(F.count_distinct("pos").alias("covered"))
@@ -256,9 +264,12 @@ QUERIES = {
     "order_by_cluster": ordering("cluster"),
     "interesting_rows": interesting_rows,
     "variant_window_rows": variant_window_rows,
-    "signature_distances": signature_distances,
     "nearest_signatures": nearest_signatures,
     "translated_frames": translated_frames,
+    "group_proteins": group_proteins,
+    "residue_changes": residue_changes,
+    "track_segments": track_segments,
+    "lollipop_tiers": lollipop_tiers,
     "covered_positions": covered_positions,
     "construct_reads": construct_reads,
 }
@@ -354,6 +365,19 @@ extents AS (SELECT row_id, group_id, read_ord, length(replace(spec, '-', '')) AS
 """
 
 
+_PROTEINS = f"""{_CELLS}, {_FRAMES}, {_CODONS},
+votes AS (SELECT group_id, pos, base, count(*) AS n, min(read_ord) AS o FROM cells WHERE base <> '-' GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY group_id, pos ORDER BY n DESC, o) = 1),
+in_frame AS (SELECT f.group_id, f.ref_seq, fs, upper(parent) AS parent, unnest(range((fe - fs) // 3)) AS k FROM frames f JOIN pileup_groups g ON g.group_id = f.group_id WHERE fs IS NOT NULL),
+spelled_out AS (
+  SELECT i.group_id, k, ref_seq[fs + 3 * k + 1:fs + 3 * k + 3] AS r, parent[fs + 3 * k + 1:fs + 3 * k + 3] AS p, coalesce(a.base, 'N') || coalesce(b.base, 'N') || coalesce(c.base, 'N') AS c, length(parent) > 0 AS has
+  FROM in_frame i LEFT JOIN best a ON a.group_id = i.group_id AND a.pos = fs + 3 * k LEFT JOIN best b ON b.group_id = i.group_id AND b.pos = fs + 3 * k + 1 LEFT JOIN best c ON c.group_id = i.group_id AND c.pos = fs + 3 * k + 2),
+residues AS (
+  SELECT s.group_id, k, has, coalesce(x.aa, 'X') AS r, coalesce(y.aa, 'X') AS c, coalesce(z.aa, 'X') AS p
+  FROM spelled_out s LEFT JOIN codons x ON x.codon = s.r LEFT JOIN codons y ON y.codon = s.c LEFT JOIN codons z ON z.codon = s.p)
+"""
+
+
 def _ordered(order: str) -> str:
     return f"WITH {_EXTENTS} SELECT row_id, group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY {order}, read_ord, row_id) AS INTEGER) AS place FROM extents"
 
@@ -404,8 +428,8 @@ ORACLES = {
     "status_tiers": """SELECT CASE WHEN status IS NULL OR trim(status) = '' THEN NULL WHEN status ILIKE '%perfect%' THEN 'ok' WHEN status ILIKE '%silent%' THEN 'warn'
       WHEN regexp_matches(lower(status), 'missense|nonsense|frameshift|stop|mismatch') THEN 'bad' WHEN status ILIKE '%match%' THEN 'ok' WHEN highlighted THEN 'ok' ELSE 'neutral' END AS tier, count(*) AS groups FROM pileup_groups GROUP BY 1""",
     "variant_table": """WITH v AS (SELECT DISTINCT variant_id, group_id, pos, lower(trim(consequence)) AS c, CASE WHEN depth > 0 THEN coalesce("count", 0) / depth ELSE 0.0 END AS f FROM variants),
-      r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE c WHEN 'frameshift' THEN 0 WHEN 'nonsense' THEN 1 WHEN 'inframe_indel' THEN 2 WHEN 'missense' THEN 3 WHEN 'silent' THEN 4 WHEN 'noncoding' THEN 5 ELSE 6 END, f DESC, pos NULLS FIRST, variant_id) AS n FROM v)
-      SELECT group_id, CAST(n AS INTEGER) AS rank_no, variant_id FROM r WHERE n <= 50""",
+      r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE c WHEN 'frameshift' THEN 0 WHEN 'nonsense' THEN 1 WHEN 'inframe_indel' THEN 2 WHEN 'missense' THEN 3 WHEN 'silent' THEN 4 WHEN 'noncoding' THEN 5 ELSE 6 END, f DESC, pos NULLS FIRST, variant_id) AS n, count(*) OVER (PARTITION BY group_id) AS of FROM v)
+      SELECT group_id, CAST(n AS INTEGER) AS rank_no, variant_id, of FROM r WHERE n <= 50""",
     "order_by_length": _ordered("called DESC, first"),
     "order_by_position": _ordered("first, called DESC"),
     "order_by_mismatch": _ordered("pattern"),
@@ -416,14 +440,26 @@ ORACLES = {
         FROM placed p JOIN w USING (group_id) LEFT JOIN cells c ON c.row_id = p.row_id AND c.base <> '-' AND c.pos >= ws AND c.pos < least(n, ws + 60) GROUP BY ALL),
       ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY disagreements DESC, covered DESC, read_ord, row_id) AS INTEGER) AS place FROM scored)
       SELECT group_id, CAST(1 AS INTEGER) AS window_no, row_id, disagreements, covered, place FROM ranked WHERE place <= 16""",
-    "signature_distances": f"""WITH {_CELLS},
-      small AS (SELECT group_id FROM placed GROUP BY group_id HAVING count(*) <= 20),
-      marks AS (SELECT p.row_id, p.group_id, coalesce(list(c.pos ORDER BY c.pos) FILTER (c.pos IS NOT NULL), []) AS s FROM placed p JOIN small USING (group_id) LEFT JOIN cells c ON c.row_id = p.row_id AND c.base <> '-' AND c.base <> c.ref_base GROUP BY ALL),
-      d AS (SELECT group_id, s, min(row_id) AS r FROM marks GROUP BY ALL)
-      SELECT x.group_id, x.r AS a, y.r AS b, CAST(len(x.s) + len(y.s) - 2 * len(list_intersect(x.s, y.s)) AS INTEGER) AS distance FROM d x JOIN d y ON x.group_id = y.group_id AND x.r < y.r""",
+    "nearest_signatures": f"""WITH {_CELLS},
+      marks AS (SELECT p.row_id, p.group_id, coalesce(list(c.pos ORDER BY c.pos) FILTER (c.pos IS NOT NULL), []) AS s FROM placed p LEFT JOIN cells c ON c.row_id = p.row_id AND c.base <> '-' AND c.base <> c.ref_base GROUP BY ALL),
+      d AS (SELECT group_id, s, min(row_id) AS r, count(*) AS n FROM marks GROUP BY ALL),
+      near AS (
+        SELECT x.group_id, x.r, y.r AS o, CAST(len(x.s) + len(y.s) - 2 * len(list_intersect(x.s, y.s)) AS INTEGER) AS away FROM d x JOIN d y ON x.group_id = y.group_id AND x.r <> y.r),
+      best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY group_id, r ORDER BY away, o) = 1)
+      SELECT d.group_id, d.r AS "row", n AS n_rows, o AS nearest, away AS distance FROM d LEFT JOIN best b ON b.group_id = d.group_id AND b.r = d.r""",
     "translated_frames": f"""WITH {_FRAMES}, {_CODONS},
       parts AS (SELECT group_id, k, ref_seq[fs + 3 * k + 1:fs + 3 * k + 3] AS codon FROM (SELECT *, unnest(range((fe - fs) // 3)) AS k FROM frames WHERE fs IS NOT NULL))
       SELECT group_id, string_agg(coalesce(aa, 'X'), '' ORDER BY k) AS protein FROM parts LEFT JOIN codons USING (codon) GROUP BY group_id""",
+    "group_proteins": f"WITH {_PROTEINS} SELECT group_id, string_agg(r, '' ORDER BY k) AS ref_protein, string_agg(c, '' ORDER BY k) AS consensus_protein, CASE WHEN bool_or(has) THEN string_agg(p, '' ORDER BY k) END AS parent_protein FROM residues GROUP BY group_id",
+    "residue_changes": f"""WITH {_PROTEINS},
+      named AS (SELECT group_id, CAST(k + 1 AS INTEGER) AS residue, has, r, c, CASE WHEN has THEN p ELSE r END AS b FROM residues)
+      SELECT group_id, residue, b || residue || CASE WHEN b <> c THEN c ELSE r END AS name, CASE WHEN b = c THEN 'missing' WHEN NOT has THEN 'plain' WHEN c = r THEN 'expected' ELSE 'unexpected' END AS kind
+      FROM named WHERE b <> c OR (has AND r <> b)""",
+    "track_segments": f"""WITH {_MISMATCH},
+      marked AS (SELECT *, CASE WHEN lag(fraction) OVER q = fraction THEN 0 ELSE 1 END AS opens FROM mismatches WINDOW q AS (PARTITION BY group_id ORDER BY pos)),
+      numbered AS (SELECT *, sum(opens) OVER (PARTITION BY group_id ORDER BY pos) AS segment FROM marked),
+      segments AS (SELECT group_id, min(pos) AS "start", max(pos) + 1 AS "end", min(fraction) AS f FROM numbered GROUP BY group_id, segment)
+      SELECT group_id, "start", "end", round(CASE WHEN f <= 0.001 THEN 0.0 WHEN f >= 1 THEN 1.0 ELSE (log10(f) + 3) / 3 END, 6) AS level FROM segments""",
     "covered_positions": f"WITH {_CELLS} SELECT group_id, count(DISTINCT pos) AS covered FROM cells WHERE base <> '-' GROUP BY group_id",
     "construct_reads": """SELECT construct_id, CAST(sum(n_reads) AS BIGINT) AS total_reads, count(*) AS groups, count(DISTINCT length(ref_seq)) AS ref_lens,
       first(group_id ORDER BY length(ref_seq) DESC, group_ord) AS widest_group FROM pileup_groups GROUP BY construct_id""",

@@ -118,7 +118,8 @@ def summary_tables(view: View) -> dict[str, list]:
     cells = pileup.cells_of(placed.filter(F.col("first").isNotNull()))
     stats = pileup.position_stats(cells)
     floors = {"min_fraction": view.min_fraction, "min_count": view.min_count}
-    called = variants.call_snvs(cells, stats, **floors).unionByName(variants.call_deletions(stats, pileup.deletion_runs(cells), view.groups, **floors))
+    counted = pileup.counted_positions(pileup.base_counts(cells))
+    called = variants.call_snvs(counted, **floors).unionByName(variants.call_deletions(counted, pileup.deletion_runs(placed), view.groups, **floors))
     judged = variants.describe(variants.classify(called, annotations.reading_frames(view.features, view.groups)))
     top = variants.variant_table(judged, TABLE_ROWS)
     windows = orderings.variant_windows(top, view.groups, WINDOWS, WINDOW_COLUMNS)

@@ -22,12 +22,17 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; a local folder only in local mode, where it is unset.
+
+    On a cluster without that setting this raises: a machine-local folder would be lost with its machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         shared = os.path.join(tempfile.gettempdir(), f"pilewright-checkpoints-{os.getuid()}")
     sc.setCheckpointDir(shared)
 

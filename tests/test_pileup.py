@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pilewright.functions.codon import BASES, IUPAC, RESIDUES, SHARED, codon_residues, translate, translate_codon
-from pilewright.operators import clustering, features, orderings, pileup, sampling, variants
+from pilewright.operators import clustering, features, orderings, pileup, proteins, sampling, variants
 from tests.pileups import ROWS, groups, rows
 
 
@@ -40,7 +40,7 @@ def test_whole_run_support_and_its_stand_in(spark):
 
     def call(specs):
         cells = pileup.cells(rows(spark, specs), g)
-        return [(v["pos"], v["ref"], v["count"], v["depth"]) for v in variants.call_deletions(pileup.position_stats(cells), pileup.deletion_runs(cells), g).collect()]
+        return [(v["pos"], v["ref"], v["count"], v["depth"]) for v in variants.call_deletions(pileup.position_stats(cells), pileup.deletion_runs(pileup.placed_rows(rows(spark, specs), g)), g).collect()]
 
     assert call(["..---.....", "..---.....", ".........."]) == [(2, "GTA", 2, 3)]
     # staggered deletions support no whole run: the thinnest position stands in
@@ -50,11 +50,11 @@ def test_whole_run_support_and_its_stand_in(spark):
 def test_floors_of_snvs(spark):
     g = groups(spark, "ACGT")
     cells = pileup.cells(rows(spark, ["T...", "T...", "....", "...."]), g)
-    stats = pileup.position_stats(cells)
-    assert [(v["pos"], v["alt"], v["count"]) for v in variants.call_snvs(cells, stats).collect()] == [(0, "T", 2)]
-    assert variants.call_snvs(cells, stats, min_count=3).count() == 0
-    assert variants.call_snvs(cells, stats, min_fraction=0.6).count() == 0
-    assert variants.call_snvs(cells, stats, min_depth=5).count() == 0
+    counted = pileup.counted_positions(pileup.base_counts(cells))
+    assert [(v["pos"], v["alt"], v["count"]) for v in variants.call_snvs(counted).collect()] == [(0, "T", 2)]
+    assert variants.call_snvs(counted, min_count=3).count() == 0
+    assert variants.call_snvs(counted, min_fraction=0.6).count() == 0
+    assert variants.call_snvs(counted, min_depth=5).count() == 0
 
 
 def test_insertions_need_depth_and_a_position(spark):
@@ -273,3 +273,53 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = pileup.position_stats(pileup.cells(r, g))
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_widths_are_checked(spark):
+    g = groups(spark, "ACGT", parents=("ACG",))
+    pileup.check_widths(rows(spark, ["....", None]), groups(spark, "ACGT"))
+    with pytest.raises(ValueError, match=r"parent 1 \(3 of 4\)"):
+        pileup.check_widths(rows(spark, ["...."]), g)
+    with pytest.raises(ValueError, match=r"row 1 \(5 of 4\)"):
+        pileup.check_widths(rows(spark, ["....", "....."]), groups(spark, "ACGT"))
+
+
+def test_lollipops_are_staggered(spark):
+    positions = [0, 1, 2, 3, 4, 30, 31]
+    called = spark.createDataFrame([(1, p, "snv", "A", "T") for p in reversed(positions)], "group_id bigint, pos int, kind string, ref string, alt string")
+    got = [r["tier"] for r in variants.lollipop_tiers(called).orderBy("pos").collect()]
+    last, want = [-1e9] * 3, []
+    for p in positions:
+        x = 4 * (p + 0.5)
+        tier = next((t for t in range(3) if x - last[t] >= 11), None)
+        if tier is not None:
+            last[tier] = x
+        want.append(2 if tier is None else tier)
+    assert got == want and set(got) == {0, 1, 2}
+    assert variants.lollipop_tiers(called.limit(0)).count() == 0
+
+
+def test_residues_are_named_against_the_parent(spark):
+    told = spark.createDataFrame([(1, "MVKF", "MLKP", None), (2, "MVKF", "MVRF", "MAKF"), (3, "MV", "MA", "MA")], "group_id bigint, ref_protein string, consensus_protein string, parent_protein string")
+    got = {(r["group_id"], r["name"], r["kind"]) for r in proteins.residue_changes(told).collect()}
+    assert got == {(1, "V2L", "plain"), (1, "F4P", "plain"), (2, "A2V", "expected"), (2, "K3R", "unexpected"), (3, "A2V", "missing")}
+
+
+def test_signatures_restricted_to_columns(spark):
+    placed = pileup.placed_rows(rows(spark, ["CCCC", "..CC", "....", "..CC"]), groups(spark, "AAAA"))
+    columns = spark.createDataFrame([(1, 3)], "group_id bigint, pos int")
+    assert [r["row_id"] for r in clustering.cluster_order(placed, columns).orderBy("place").collect()] == [0, 1, 3, 2]
+
+
+def test_lanes_equal_a_search(spark):
+    import pandas as pd
+
+    rng = random.Random(4)
+    for _ in range(20):
+        pieces = pd.DataFrame([(i, rng.choice(["CDS", "promoter", "x"]), s, s + rng.randrange(1, 40)) for i in range(12) for s in [rng.randrange(0, 150)]], columns=["feature_id", "type", "start", "end"])
+        lanes = features.plan_lanes(pieces)
+        drawn = pieces.merge(lanes, on="feature_id")
+        drawn = drawn[drawn["lane"] >= 0].sort_values("start")
+        assert drawn["lane"].max() < 3
+        for _, lane in drawn.groupby("lane"):
+            assert all(e + 0.75 <= s for e, s in zip(lane["end"], lane["start"].iloc[1:]))

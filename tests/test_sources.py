@@ -17,6 +17,21 @@ def test_fastq(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "none")).count() == 0
 
 
+    assert [r["name"] for r in fastq.read_fastq(spark, str(tmp_path), limit=2).collect()] == ["r1", "r2"]
+
+
+def test_styling_notes():
+    pairs = lambda *p: annotated.Qualifiers(list(p))
+    assert pairs(("note", "color: #AABBCC; direction: RIGHT"), ("note", "a  site")).label("misc") == "a site"
+    assert pairs(("note", "This forward feature has 2 segments: 1: 5..9")).label("misc") == "misc"
+    assert pairs(("note", "x" * 50), ("gene", " ")).label("misc") == "x" * 39 + "…"
+    assert pairs(("product", "p"), ("gene", "g")).label("misc") == "g"
+    assert pairs(("note", "kept; my color: Red")).color(False) == "#ff0000"
+    assert pairs(("ApEinfo_revcolor", "#00f"), ("ApEinfo_fwdcolor", "#0F0")).color(True) == "#00f"
+    assert pairs(("ApEinfo_revcolor", "#00f"), ("ApEinfo_fwdcolor", "#0F0")).color(False) == "#0f0"
+    assert pairs(("color", "12 34 56"), ("note", "colour of money")).color(False) is None
+
+
 REF = "ACGT" * 5
 
 
@@ -88,6 +103,8 @@ CASES = [
     ("r1,ACGT,III,4,bc01,2025-01-02T03:04:05", "value"),
     ("r1,ACGT,IIII,5,bc01,2025-01-02T03:04:05", "value"),
     ("r1,ACGT,IIII,99999999999999999999999,bc01,2025-01-02T03:04:05", "value"),
+    ("r1,ACGT,IIII," + "0" * 100_000 + "4,bc01,2025-01-02T03:04:05", None),
+    ("r1,ACGT,IIII," + "9" * 100_000 + ",bc01,2025-01-02T03:04:05", "value"),
     ("r1,ACGT,IIII,4,bc1,2025-01-02T03:04:05", "value"),
     ("r1,ACGT,IIII,4,bc01,2025-02-29T03:04:05", "value"),
     ("r1,ACGT,IIII,4,bc01,2025-01-02T24:00:00", "value"),
