@@ -28,8 +28,8 @@ def frozen_sample(df: DataFrame, identity: Sequence[str], batch: str, rate: floa
     it arrives, and comes out once, with ``identity``, ``batch``, the ``tie`` columns of its least row in
     that batch, and ``sample_hash``. A batch's choice depends on the records of that batch alone that no
     earlier one has, so later batches add records and remove none, and neither partitioning nor row order
-    matters. Equal hashes are ordered by ``identity``. Rows without a batch form a batch that is
-    taken as the last. Empty input gives no rows; other columns are not read; a column of ``df`` named
+    matters. Equal hashes are ordered by ``identity``. Rows without a batch take no part until they come with one: whatever
+    place they had, a later batch would claim some of their records or lose some to them. Empty input gives no rows; other columns are not read; a column of ``df`` named
     ``sample_hash`` is no matter unless it is one of those named here, then ours gets an underscore.
 
     No batch is sorted as a whole: rows are counted by batch and hash prefix, the prefix at which a batch
@@ -39,7 +39,8 @@ def frozen_sample(df: DataFrame, identity: Sequence[str], batch: str, rate: floa
     named = df.select(*[c for c in dict.fromkeys([*identity, batch, *tie])])
     hashed = free_name(named, "sample_hash")
     keys = [F.col(f"`{c}`") for c in identity]
-    first = F.struct(F.col(f"`{batch}`").isNull().alias("late"), F.col(f"`{batch}`").alias("batch"), *[F.col(f"`{t}`").alias(f"t{i}") for i, t in enumerate(tie)])
+    named = named.filter(F.col(f"`{batch}`").isNotNull())
+    first = F.struct(F.col(f"`{batch}`").alias("batch"), *[F.col(f"`{t}`").alias(f"t{i}") for i, t in enumerate(tie)])
     records = (
         named.groupBy(*[k.alias(f"i{n}") for n, k in enumerate(keys)])
         .agg(F.min(first).alias("at"))

@@ -340,10 +340,10 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     of any length are encoded whole. Repeated rows come out as often as they stand in ``documents``; an
     empty table gives no rows; other columns are not read. No shuffle.
     """
-    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(path)
+        # Where the vocabulary lies is the worker's own matter.
+        encoder = BatchEncoder(path or vocabulary_path())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), encoder.lists(batch.column(1))], names=["doc_id", "ids"])
 
@@ -352,10 +352,10 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` of every document; 0 for null and empty texts."""
-    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(path)
+        # Where the vocabulary lies is the worker's own matter.
+        encoder = BatchEncoder(path or vocabulary_path())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.counts(batch.column(1)), pa.int64())], names=["doc_id", "n_tokens"])
 

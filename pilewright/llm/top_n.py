@@ -17,7 +17,7 @@ def top_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     an item share it and ``n`` distinct items stay whatever the number of copies; the optimiser turns its
     filter into group limits before and after the shuffle, and a group of any size leaves a map task with
     its n best items only. ``row_number`` with a second filter, in the same partitioning, then keeps one
-    copy of each item.
+    copy of each item: the one whose columns as a whole have the least hash, whatever the partitioning.
 
     Null group keys form one group; nulls in ``order`` stand as that column says (Spark: first when
     ascending); ties are broken by ``identity``, ascending, nulls first. Rows that agree in groups, order
@@ -27,5 +27,5 @@ def top_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     rank, copy = free_name(df, rank), free_name(df, "copy_no")
     keys = [df[g] for g in groups]
     best = df.withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order, *[df[c].asc() for c in identity]))).filter(F.col(rank) <= n)
-    copies = Window.partitionBy(*[best[g] for g in groups], F.col(rank)).orderBy(*[best[c].asc() for c in identity])
+    copies = Window.partitionBy(*[best[g] for g in groups], F.col(rank)).orderBy(*[best[c].asc() for c in identity], F.xxhash64(*[best[c] for c, kind in df.dtypes if "map<" not in kind]))
     return best.withColumn(copy, F.row_number().over(copies)).filter(F.col(copy) <= 1).drop(copy)

@@ -256,6 +256,15 @@ def test_sample_is_append_only_and_exact(spark):
     assert draw(reads.limit(0)) == set()
 
 
+def test_rows_without_a_batch_displace_nothing(spark):
+    schema = "name string, seq string, batch_no int"
+    draw = lambda rows: {tuple(x)[:2] for x in frozen_sample(spark.createDataFrame(rows, schema), ["name", "seq"], "batch_no", 0.25, "s").select("name", "seq").collect()}
+    first = [(f"a{i}", "A", 1) for i in range(100)]
+    late = [(f"b{i}", "A", None) for i in range(100)]
+    second = [(f"b{i}", "A", 2) for i in range(100)]
+    assert draw(first + late) == draw(first) and draw(first + late + second) > draw(first + late)
+
+
 VARIANTS = "variant_id bigint, group_id bigint, pos int, kind string, count bigint, depth bigint, consequence string, rank_no string, loaded_at int"
 
 
