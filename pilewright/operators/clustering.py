@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -169,20 +168,36 @@ def cluster_order(placed: DataFrame, columns: DataFrame | None = None) -> DataFr
         kept = F.coalesce(F.array_sort(F.array_intersect("signature", "counting")), F.array().cast("array<int>"))
         signed = signed.join(counting, F.col("group_id") == F.col("g"), "left").select("row_id", "group_id", "read_ord", kept.alias("signature"))
     distinct = signed.groupBy("group_id", "signature").agg(F.min(F.struct("read_ord", "row_id")).alias("seen"), F.count(F.lit(1)).alias("n"))
-
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seen", key=lambda s: s.map(lambda x: (x["read_ord"], x["row_id"]))).reset_index(drop=True)
-        n = len(group)
-        if group["n"].sum() < 3 or n < 2:
-            slot = np.zeros(n, int)  # arrival order
-        else:
-            sets = [sorted(s) for s in group["signature"]]
-            way = leaves(average_linkage(hamming(sets)) if n <= MAX_SIGNATURES else linkage_of_marks(marks(sets)), n)
-            slot = np.empty(n, int)
-            slot[way] = np.arange(n)
-        return pd.DataFrame({"group_id": group["group_id"], "signature": group["signature"], "slot": slot})
-
-    slots = distinct.groupBy("group_id").applyInPandas(order, "group_id bigint, signature array<int>, slot bigint")
+    line = distinct.select("group_id", "signature", "n", "seen").repartition("group_id").sortWithinPartitions("group_id", "seen").select("group_id", "signature", "n")
+
+    def slots_of(sets: list[list[int]], rows: int) -> list[int]:
+        n = len(sets)
+        if rows < 3 or n < 2:
+            return [0] * n  # arrival order
+        way = leaves(average_linkage(hamming(sets)) if n <= MAX_SIGNATURES else linkage_of_marks(marks(sets)), n)
+        slot = np.empty(n, int)
+        slot[way] = np.arange(n)
+        return slot.tolist()
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Group after group in a sorted partition: what is held is one group's signatures."""
+        group, sets, rows = None, [], 0
+        schema = pa.schema([("group_id", pa.int64()), ("signature", pa.list_(pa.int32())), ("slot", pa.int64())])
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for g, signature, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if g != group and sets:
+                    for column, values in zip(out, ([group] * len(sets), sets, slots_of(sets, rows))):
+                        column += values
+                    sets, rows = [], 0
+                group = g
+                sets.append(signature)
+                rows += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([group] * len(sets), sets, slots_of(sets, rows)), schema.types)], schema=schema)
+
+    slots = line.mapInArrow(order, "group_id bigint, signature array<int>, slot bigint")
     joined = signed.join(slots, ["group_id", "signature"])
     return joined.select("row_id", "group_id", F.row_number().over(Window.partitionBy("group_id").orderBy("slot", "read_ord", "row_id")).alias("place"))
 

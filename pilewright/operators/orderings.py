@@ -53,17 +53,18 @@ def variant_windows(top: DataFrame, groups: DataFrame, most: int, columns: int)
     return top.filter(F.col("rank_no") <= most).join(length, F.col("group_id") == F.col("g")).select("group_id", F.col("rank_no").alias("window_no"), start.alias("start"), end.alias("end"))
 
 
-def interesting_first(cells: DataFrame, placed: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
+def interesting_first(placed: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of windows (group_id, window_no, start, end): most disagreements first, then most covered, then arrival.
 
-    Adds ``place`` and the numbers; with ``limit`` only the first rows of a window stay.
+    Adds ``place`` and the numbers; with ``limit`` only the first rows of a window stay. What a row has in a window is read off its
+    text: cells are neither exploded nor shuffled.
     """
     w = windows.select(F.col("group_id").alias("wg"), "window_no", F.col("start").alias("ws"), F.col("end").alias("we"))
-    called = cells.filter(F.col("base") != GAP).join(w, (F.col("group_id") == F.col("wg")) & (F.col("pos") >= F.col("ws")) & (F.col("pos") < F.col("we")))
-    scores = called.groupBy(F.col("row_id").alias("r"), "window_no").agg(F.count_if(F.col("base") != F.col("ref_base")).alias("disagreements"), F.count(F.lit(1)).alias("covered"))
-    every = placed.select("row_id", "group_id", "read_ord").join(w.select("wg", F.col("window_no").alias("w")), F.col("group_id") == F.col("wg"))
-    zero = F.lit(0).cast("bigint")
-    rated = every.join(scores, (F.col("row_id") == F.col("r")) & (F.col("w") == F.col("window_no")), "left").select("group_id", F.col("w").alias("window_no"), "row_id", "read_ord", F.coalesce("disagreements", zero).alias("disagreements"), F.coalesce("covered", zero).alias("covered"))
+    inside = placed.join(w, F.col("group_id") == F.col("wg"))
+    letters = lambda c: F.split(F.upper(F.substring(F.col(c), F.col("ws") + 1, F.col("we") - F.col("ws"))), "")
+    differ = F.zip_with(letters("spec"), letters("ref_seq"), lambda x, y: (x != ".") & (x != GAP) & (x != y))
+    called = F.length(F.replace(F.substring(F.col("spec"), F.col("ws") + 1, F.col("we") - F.col("ws")), F.lit(GAP), F.lit("")))
+    rated = inside.select("group_id", "window_no", "row_id", "read_ord", F.size(F.filter(differ, lambda x: x)).cast("bigint").alias("disagreements"), called.cast("bigint").alias("covered"))
     order = Window.partitionBy("group_id", "window_no").orderBy(F.desc("disagreements"), F.desc("covered"), "read_ord", "row_id")
     out = rated.withColumn("place", F.row_number().over(order))
     return (out if limit is None else out.filter(F.col("place") <= limit)).drop("read_ord")

@@ -59,18 +59,32 @@ def cells_of(placed: DataFrame) -> DataFrame:
     )
 
 
-def base_counts(cells: DataFrame) -> DataFrame:
-    """group_id, pos, ref_base, base, n: the one reduction of the cells that statistics and variants are taken from."""
-    return cells.groupBy("group_id", "pos", "ref_base", "base").agg(F.count(F.lit(1)).alias("n"))
+def differing_cells(placed: DataFrame) -> DataFrame:
+    """The covered cells that do not have the reference base; equal ones are dropped before anything is aggregated or shuffled.
+
+    Exploding runs in generated code, which higher-order functions over a row's letters would not.
+    """
+    return cells_of(placed.filter(F.col("first").isNotNull())).filter(F.col("base") != F.col("ref_base")).select("group_id", "pos", "base", "ref_base")
+
+
+def depths(placed: DataFrame) -> DataFrame:
+    """group_id, pos, depth of every covered position, from where rows begin and end: two numbers a row, not one a cell."""
+    ends = placed.filter(F.col("first").isNotNull()).select("group_id", F.inline(F.array(F.struct(F.col("first").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("pos"), F.lit(-1).alias("d")))))
+    changes = ends.groupBy("group_id", "pos").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy("group_id").orderBy("pos")
+    steps = changes.select("group_id", "pos", F.sum("d").over(order).alias("depth"), F.lead("pos").over(order).alias("to")).filter(F.col("depth") > 0)
+    return steps.select("group_id", F.explode(F.sequence(F.col("pos"), F.col("to") - 1)).alias("pos"), "depth")
 
 
-def counted_positions(counts: DataFrame) -> DataFrame:
-    """``position_stats`` of base counts, with ``ref_base`` and ``alts``: the other called bases (base, n) of each position."""
-    n = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0).cast("bigint"))
-    other = (F.col("base") != GAP) & (F.col("base") != F.col("ref_base"))
-    return counts.groupBy("group_id", "pos").agg(
-        F.sum("n").alias("depth"), n(F.col("base") == F.col("ref_base")).alias("matches"), n(F.col("base") == GAP).alias("deletions"), F.first("ref_base").alias("ref_base"), F.collect_list(F.when(other, F.struct("base", "n"))).alias("alts")
+def counted_positions(placed: DataFrame) -> DataFrame:
+    """``position_stats`` of placed rows, with ``ref_base`` and ``alts``: the other called bases (base, n) of each position that has some."""
+    counts = differing_cells(placed).groupBy("group_id", "pos", "ref_base", "base").agg(F.count(F.lit(1)).alias("n"))
+    off = counts.groupBy("group_id", "pos").agg(
+        F.sum("n").alias("off"), F.sum(F.when(F.col("base") == GAP, F.col("n"))).alias("deletions"), F.first("ref_base").alias("ref_base"), F.collect_list(F.when(F.col("base") != GAP, F.struct("base", "n"))).alias("alts")
     )
+    zero = F.lit(0).cast("bigint")
+    joined = depths(placed).join(off, ["group_id", "pos"], "left")
+    return joined.select("group_id", "pos", "depth", (F.col("depth") - F.coalesce("off", zero)).alias("matches"), F.coalesce("deletions", zero).alias("deletions"), "ref_base", "alts")
 
 
 def position_stats(cells: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pilewright.functions.codon import translate
 from pilewright.functions.scales import mismatch_level, window_bounds
 from pilewright.operators import clustering, features, orderings, pileup, proteins, variants
-from pilewright.tables import table
+from pilewright.tables import checkpointed, table
 
 
 class Pileup:
@@ -32,11 +32,12 @@ class Pileup:
 
     @property
     def counted(self) -> DataFrame:
-        return pileup.counted_positions(pileup.base_counts(self.cells))
+        return pileup.counted_positions(self.placed)
 
     @property
     def called(self) -> DataFrame:
-        counted = self.counted
+        # A row a group and position: kept, so that the cells are counted once for both kinds of variants.
+        counted = checkpointed(self.counted)
         return variants.call_snvs(counted).unionByName(variants.call_deletions(counted, pileup.deletion_runs(self.placed), self.groups))
 
     @property
@@ -173,14 +174,14 @@ def interesting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.length("ref_seq")
     start, end = window_bounds(F.floor(length / 2).cast("int"), length, 60)
     windows = p.groups.select("group_id", F.lit(1).alias("window_no"), start.alias("start"), end.alias("end"))
-    return orderings.interesting_first(p.cells, p.placed, windows, limit=16)
+    return orderings.interesting_first(p.placed, windows, limit=16)
 
 
 def variant_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of the windows around the foremost variants of each group, up to six a group, as the summary page has them."""
     p = Pileup(spark, sf_dir)
     windows = orderings.variant_windows(variants.variant_table(p.classified, 6), p.groups, 6, 60)
-    return orderings.interesting_first(p.cells, p.placed, windows, limit=16)
+    return orderings.interesting_first(p.placed, windows, limit=16)
 
 
 def nearest_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def render_pileup(view: View) -> str:
     """The rows of each group under its reference, with identity and how often each position differs."""
     placed = pileup.placed_rows(view.rows, view.groups)
     cells = pileup.cells_of(placed.filter(F.col("first").isNotNull()))
-    stats = pileup.position_stats(cells)
+    stats = pileup.counted_positions(placed).drop("ref_base", "alts")
     rows = _drawn(view, placed).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", F.upper("spec").alias("spec")))).alias("rows"))
     off = pileup.mismatch_counts(stats, view.groups).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.round("fraction", 4).alias("f")))).alias("off"))
     identity = pileup.flag_identity(cells)
@@ -116,14 +116,14 @@ def summary_tables(view: View) -> dict[str, list]:
     """The bounded tables of the summary page."""
     placed = pileup.placed_rows(view.rows, view.groups)
     cells = pileup.cells_of(placed.filter(F.col("first").isNotNull()))
-    stats = pileup.position_stats(cells)
+    counted = pileup.counted_positions(placed)
+    stats = counted.drop("ref_base", "alts")
     floors = {"min_fraction": view.min_fraction, "min_count": view.min_count}
-    counted = pileup.counted_positions(pileup.base_counts(cells))
     called = variants.call_snvs(counted, **floors).unionByName(variants.call_deletions(counted, pileup.deletion_runs(placed), view.groups, **floors))
     judged = variants.describe(variants.classify(called, annotations.reading_frames(view.features, view.groups)))
     top = variants.variant_table(judged, TABLE_ROWS)
     windows = orderings.variant_windows(top, view.groups, WINDOWS, WINDOW_COLUMNS)
-    shown = orderings.interesting_first(cells, placed, windows, WINDOW_ROWS).join(windows.select(F.col("group_id").alias("g"), F.col("window_no").alias("w"), "start", "end"), (F.col("group_id") == F.col("g")) & (F.col("window_no") == F.col("w")))
+    shown = orderings.interesting_first(placed, windows, WINDOW_ROWS).join(windows.select(F.col("group_id").alias("g"), F.col("window_no").alias("w"), "start", "end"), (F.col("group_id") == F.col("g")) & (F.col("window_no") == F.col("w")))
     texts = shown.join(placed.select(F.col("row_id").alias("r"), "spec"), F.col("row_id") == F.col("r"))
     texts = texts.select("group_id", "window_no", "place", "start", "end", F.substring(F.upper("spec"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
     track = annotations.track_plan(annotations.kept_features(view.features), view.constructs).join(annotations.feature_spans(view.features, view.constructs).drop("construct_id"), "feature_id")

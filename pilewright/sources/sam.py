@@ -67,10 +67,11 @@ def project(records: DataFrame, ref_len: Column, keys: tuple[str, ...] = ("name"
 
     blocks = F.filter(F.aggregate(_operations(), zero, step, lambda acc: acc["out"]), lambda b: _consumes(b["op"], "reference") & (b["n"] > 0))
     placed = records.select(*keys, "start", "seq", ref_len.alias("ref_len"), F.explode(blocks).alias("b"))
-    long = placed.select(*keys, "start", "seq", "ref_len", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
-    pos = F.col("start") + F.col("b.r") + F.col("k")
-    base = F.when(F.col("b.op").isin("D", "N"), F.lit("-")).otherwise(F.upper(F.substring(F.col("seq"), F.col("b.q") + F.col("k") + 1, F.lit(1))))
-    return long.select(*keys, pos.alias("pos"), base.alias("base"), "ref_len").filter(F.col("pos") < F.col("ref_len")).drop("ref_len")
+    # A block's letters are cut out at once: cells carry one letter, not the read.
+    letters = F.when(F.col("b.op").isin("D", "N"), F.array_repeat(F.lit("-"), F.col("b.n"))).otherwise(F.split(F.upper(F.substring(F.col("seq"), F.col("b.q") + 1, F.col("b.n"))), ""))
+    long = placed.select(*keys, (F.col("start") + F.col("b.r")).alias("at"), "ref_len", F.posexplode(letters).alias("k", "base"))
+    pos = F.col("at") + F.col("k")
+    return long.filter((pos < F.col("ref_len")) & (F.col("base") != "")).select(*keys, pos.alias("pos"), "base")
 
 
 def grid(records: DataFrame, ref_seq: str, min_overlap_pos: int = -1, names: DataFrame | None = None) -> DataFrame:

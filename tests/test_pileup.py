@@ -50,7 +50,7 @@ def test_whole_run_support_and_its_stand_in(spark):
 def test_floors_of_snvs(spark):
     g = groups(spark, "ACGT")
     cells = pileup.cells(rows(spark, ["T...", "T...", "....", "...."]), g)
-    counted = pileup.counted_positions(pileup.base_counts(cells))
+    counted = pileup.counted_positions(pileup.placed_rows(rows(spark, ["T...", "T...", "....", "...."]), g))
     assert [(v["pos"], v["alt"], v["count"]) for v in variants.call_snvs(counted).collect()] == [(0, "T", 2)]
     assert variants.call_snvs(counted, min_count=3).count() == 0
     assert variants.call_snvs(counted, min_fraction=0.6).count() == 0
@@ -323,3 +323,13 @@ def test_lanes_equal_a_search(spark):
         assert drawn["lane"].max() < 3
         for _, lane in drawn.groupby("lane"):
             assert all(e + 0.75 <= s for e, s in zip(lane["end"], lane["start"].iloc[1:]))
+
+
+def test_counts_of_positions_equal_those_of_cells(spark):
+    rng = random.Random(3)
+    specs = ["".join(rng.choice("ACGTN.--..acg") for _ in range(12)) for _ in range(60)] + ["-" * 12, "", None, "--" + "." * 20]
+    r, g = rows(spark, specs), groups(spark, "acgtNACGTACG")
+    want = {tuple(x) for x in pileup.position_stats(pileup.cells(r, g)).collect()}
+    counted = pileup.counted_positions(pileup.placed_rows(r, g))
+    assert {tuple(x) for x in counted.select("group_id", "pos", "depth", "matches", "deletions").collect()} == want
+    assert pileup.counted_positions(pileup.placed_rows(spark.createDataFrame([], ROWS), g)).count() == 0
