@@ -92,14 +92,14 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as alignments: row_id, flag, start, cigar, seq, ref_len.
 
     Every operation occurs: clips of both kinds at the ends, two inserted bases after the first run, gaps as D or N, and
-    called bases as M or as = and X.
+    the rest as M, or as = where the row says so and X where it has a letter.
     """
     placed = pileup.placed_rows(table(spark, sf_dir, "pileup_rows"), table(spark, sf_dir, "pileup_groups")).filter(F.col("first").isNotNull())
-    base = lambda c: F.when(c["code"] == ".", c["ref"]).otherwise(c["code"])
-    plain = F.col("row_id") % 3 == 0
-    kind = lambda c: F.when(c["code"] == pileup.GAP, F.when(F.col("row_id") % 2 == 0, "D").otherwise("N")).when(plain, "M").when(base(c) == c["ref"], "=").otherwise("X")
-    kinds = F.array_join(F.transform(pileup.covered_letters(), kind), "")
-    bases = F.array_join(F.transform(pileup.covered_letters(), base), "")
+    core = F.upper(F.substring(F.col("spec"), F.col("first") + 1, F.col("last") - F.col("first") + 1))
+    called = F.translate(F.regexp_replace(core, "[A-Z]", "X"), ".", "=")
+    called = F.when(F.col("row_id") % 3 == 0, F.translate(called, "X=", "MM")).otherwise(called)
+    kinds = F.when(F.col("row_id") % 2 == 0, F.translate(called, pileup.GAP, "D")).otherwise(F.translate(called, pileup.GAP, "N"))
+    bases = F.array_join(F.transform(pileup.covered_letters(), lambda c: F.when(c["code"] == ".", c["ref"]).otherwise(c["code"])), "")
     runs = F.regexp_extract_all(F.col("kinds"), F.lit("(M+|=+|X+|D+|N+)"), F.lit(1))
     told = placed.select("row_id", "ref_len", F.col("first").alias("start"), kinds.alias("kinds"), F.replace(bases, F.lit(pileup.GAP), F.lit("")).alias("bases")).withColumn("runs", runs)
     operations = F.transform("runs", lambda r, i: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1), F.when(i == 0, "2I").otherwise("")))
