@@ -86,7 +86,8 @@ def foremost_variants(variants: DataFrame, n: int = 5) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return foremost_variants(table(spark, sf_dir, "variants")).select("group_id", F.col("rank_no").cast("int").alias("rank_no"), "variant_id")
+    needed = table(spark, sf_dir, "variants").select("variant_id", "group_id", "pos", "count", "depth", "consequence")
+    return foremost_variants(needed).select("group_id", F.col("rank_no").cast("int").alias("rank_no"), "variant_id")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
