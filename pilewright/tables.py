@@ -37,7 +37,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+#: Estimates of a plan's size of more bits than this stand for none: Spark multiplies them at every join.
+ESTIMATE_BITS = 62
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint."""
+    """``df`` with its lineage cut by a reliable checkpoint.
+
+    Spark keeps the estimated size of what was checkpointed. In a loop of joins over checkpoints the product of the estimates has
+    three times as many digits after every turn, until the number alone fills the driver; an estimate beyond any table
+    is therefore dropped with the lineage.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    out = df.checkpoint(eager=eager)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+        return out
+    session = out.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(out._jdf.logicalPlan().rdd(), out._jdf.schema(), False), session)

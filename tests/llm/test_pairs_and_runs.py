@@ -276,3 +276,14 @@ def test_top_n_with_ties_copies_and_nulls(spark):
     assert foremost_variants(df.limit(0)).count() == 0
     plan = foremost_variants(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_estimates_of_a_plan_do_not_grow_with_the_rounds(spark):
+    """A long row of links takes many rounds; each joins the links of the round before it with what merged, twice."""
+    links = spark.createDataFrame([(1, k, k + 1, 95, 100) for k in range(40)], "construct_id bigint, a bigint, b bigint, total bigint, links bigint")
+    merged = spark.createDataFrame([(k, k - 1) for k in range(1, 40, 2)], "node bigint, cluster bigint")
+    for _ in range(6):
+        links = S.checkpointed(S.renamed_links(links, merged))
+        assert links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+        merged = S.checkpointed(links.join(merged, F.col("a") == F.col("cluster"), "left").select(F.col("b").alias("node"), F.coalesce("cluster", "a").alias("cluster")).distinct())
+    assert links.columns == ["construct_id", "a", "b", "total", "links"]
