@@ -1,24 +1,20 @@
 """Rows into clusters of mutually similar rows: reciprocal-nearest-neighbour average linkage on a sparse graph.
 
 1. Equal contents become one node, so copies cost nothing further on.
-2. Sparse graph. A construct of up to ``TASK_ROWS`` rows meets in one task, which takes all similarities of its nodes and keeps
-   those within connected components of similar nodes; no average over links that leave a component reaches
-   the threshold, so that nothing is lost. In larger constructs, nodes that agree at some sampled positions share a
-   bucket; in each bucket they are sorted by content, from another place in each table, and linked with their next few
-   neighbours. The number of links is linear in the nodes whatever the size of a bucket; buckets are range-partitioned,
-   so that a hot one is spread over tasks. Where rows do not cover the middle of the width, positions are sampled from
-   windows of a half, a quarter and an eighth of it too.
+2. Sparse graph: all pairs of nodes within connected components of similar nodes, in constructs of any size; no average over
+   links that leave a component reaches the threshold, so that nothing is lost. A construct of up to ``TASK_ROWS`` rows
+   meets in one task, which compares all of its nodes. In larger ones the core, which most rows cover, is dealt into more
+   parts than similar rows have differences, so that they agree in a part at least and meet in its bucket; rows that
+   do not cover the core are compared with all. One bit a position tells most of those apart that are not similar; none that are.
 3. Rounds: all pairs of clusters that are each other's nearest are merged at once; the similarity of two clusters is the
-   average over all positions that their linked rows share, a quotient of whole numbers. Rounds end when no average reaches
-   the threshold.
-4. In larger constructs the widest rows of the clusters are linked through further tables, beside the summed links that are
-   left, until a pass merges nothing.
+   average over all positions that their rows share, a quotient of whole numbers. Rounds end when no average reaches
+   the threshold. Components of larger constructs take their rounds by themselves, and one of more than ``TASK_LINKS`` as Spark jobs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,10 +28,10 @@ from pilewright.tables import checkpointed
 
 #: Rows of a construct that one task compares with each other: their similarities are 32 MB at most.
 TASK_ROWS = 2_048
-#: (tables, tables of each window, sampled positions, neighbours to link) of the first pass over larger constructs, and of later ones.
-FIRST_PASS, LATER_PASS = (4, 2, 16, 2), (12, 4, 20, 4)
-#: Parts of the width: the middle, and windows of a half, a quarter and an eighth, each half over the one before it.
-SPANS = ((0.15, 0.85), *((i / (2 * n), (i + 2) / (2 * n)) for n in (2, 4, 8) for i in range(2 * n - 1)))
+#: Nodes of a construct up to which rows meet that agree in one part of the core; in larger ones they must agree in two, of one part more.
+ONE_PART = 1 << 18
+#: Rows of a bucket that are compared as a block; those up to which blocks are compared many at a time.
+BUCKET_ROWS, FEW_ROWS = 1_024, 48
 #: Of clusters that reach the threshold, those are nearest that agree at most positions of those shared and these many more: few
 #: shared positions that agree by chance come last.
 DOUBT = 16
@@ -59,87 +55,149 @@ def row_contents(joined: DataFrame) -> DataFrame:
     return joined.select("row_id", "construct_id", "spec", "ref_seq").mapInArrow(read, "row_id bigint, construct_id bigint, content string")
 
 
-@lru_cache
-def _table_plan(width: int, span: int, table: int, seed: int, sampled: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sampled positions of a part of the width, multipliers, and where sorting begins."""
-    rng = np.random.default_rng([width, span, table, seed])
-    low = int(width * SPANS[span][0])
-    part = np.arange(low, max(int(width * SPANS[span][1]), low + 1))
-    at = np.sort(rng.choice(part, min(sampled, (len(part) * 2 + 2) // 3), replace=False)) if width else np.zeros(0, int)
-    return at, rng.integers(1, 1 << 63, len(at), dtype=np.uint64) | np.uint64(1), int(rng.choice(part)) if width else 0
+def cores(nodes: DataFrame) -> DataFrame:
+    """``construct_id, width, n, low, high``: the number of nodes, and the part of the width that rows cover which miss little of it."""
+    first, last = F.length("content") - F.length(F.ltrim("content")), F.length(F.rtrim("content"))
+    ends = nodes.select("construct_id", F.length("content").alias("w"), first.alias("first"), last.alias("last"))
+    widths = ends.groupBy("construct_id").agg(F.max("w").alias("width"), F.count(F.lit(1)).alias("n"))
+    inside = ends.join(widths, "construct_id").groupBy("construct_id", "width", "n")
+    found = inside.agg(F.max(F.when(F.col("first") <= 0.15 * F.col("width"), F.col("first"))).alias("low"), F.min(F.when(F.col("last") >= 0.85 * F.col("width"), F.col("last"))).alias("high"))
+    return found.select("construct_id", "width", "n", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", "width").alias("high"))
 
 
-def needed_spans(nodes: DataFrame) -> DataFrame:
-    """``construct_id, spans``: the windows of the constructs that have rows which do not cover the middle."""
+def sketches(nodes: DataFrame, most: float) -> DataFrame:
+    """``node, construct_id, sketch, buckets`` of the nodes that cover anything; no buckets where a row does not cover the core.
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = set()
-            for construct, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                first, last = len(text) - len(text.lstrip(" ")), len(text.rstrip(" "))
-                inside = [first <= int(len(text) * a) and last >= int(len(text) * z) for a, z in SPANS]
-                if not inside[0]:
-                    found.update((construct, k) for k in range(1, len(SPANS)) if inside[k])
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int32())], names=["construct_id", "span"])
-
-    found = nodes.select("construct_id", "content").mapInArrow(spans, "construct_id bigint, span int")
-    return found.groupBy("construct_id").agg(F.collect_set("span").alias("spans"))
-
-
-def link_neighbours(nodes: DataFrame, tables: int, window_tables: int, sampled: int, reach: int, seed: int) -> DataFrame:
-    """``construct_id, a, b, total, links`` of neighbours in the buckets of ``nodes`` (``node, construct_id, content, spans``).
-
-    ``total`` counts the positions at which the two agree, ``links`` those that both cover.
+    Rows of ``width`` positions differ at no more than a fixed number if they are similar. ``sketch`` has words of 64
+    positions in turn: a bit of each content, and what is covered.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            text = b.column(2).to_pylist()
-            wanted = [set(s or ()) for s in b.column(3).to_pylist()]
-            grid = from_strings(text)
-            width = np.array([len(t) for t in text])
-            construct = b.column(1).to_numpy().astype(np.uint64)
-            for span, t in [(0, t) for t in range(tables)] + [(k, t) for k in sorted(set().union(*wanted)) for t in range(window_tables)]:
-                bucket, begin = np.zeros(len(text), np.uint64), np.zeros(len(text), np.int64)
-                usable = np.array([span == 0 or span in w for w in wanted])
-                for w in np.unique(width):
-                    here = np.flatnonzero(width == w)
-                    at, factor, begin[here] = _table_plan(int(w), span, t, seed, sampled)
-                    picked = grid[np.ix_(here, at)]
-                    bucket[here] = ((picked.astype(np.uint64) + np.uint64(7)) * factor * factor).sum(1, dtype=np.uint64)
-                    usable[here] &= (picked != UNCOVERED).all(1)
-                bucket = (bucket ^ (construct * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((span * 64 + t) * 0x2545F4914F6CDD1D % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-                keep = np.flatnonzero(usable)
-                rotated = [text[i][begin[i] :] + text[i][: begin[i]] for i in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[keep].view(np.int64)), pa.array(rotated, pa.string()), b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["bucket", "rotated", "node", "construct_id"]
-                )
-
-    in_buckets = nodes.select("node", "construct_id", "content", "spans").mapInArrow(keys, "bucket bigint, rotated string, node bigint, construct_id bigint")
-    line = in_buckets.repartitionByRange("bucket", "rotated").sortWithinPartitions("bucket", "rotated", "node")
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
+            construct, frames = b.column(1).to_numpy(), np.stack([b.column(i).to_numpy() for i in range(3, 7)], 1)
+            all_rows = from_strings(b.column(2))
+            for c in np.unique(construct):
+                here = np.flatnonzero(construct == c)
+                width, n, low, high = frames[here[0]].tolist()
+                grid = all_rows[here, :width]
+                grid = np.pad(grid, ((0, 0), (0, -(-width // 64) * 64 - grid.shape[1])))
+                cover = grid != UNCOVERED
+                words = np.stack([np.packbits(x, axis=1).view(np.uint64) for x in (cover & ((grid >> 1) & 1 == 1), cover)], 2)
+                agree = 1 if n <= ONE_PART else 2
+                parts = int(most * width + 1e-9) + agree
+                rng = np.random.default_rng([width, parts])
+                factor, turn = (rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1) for k in (width, parts))
+                core = (grid[:, low:high].astype(np.uint64) + np.uint64(7)) * factor[low:high]
+                part = np.stack([core[:, k::parts].sum(1, dtype=np.uint64) for k in range(parts)], 1) * turn
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                buckets = np.stack([part[:, list(k)].sum(1, dtype=np.uint64) + np.uint64(i) for i, k in enumerate(combinations(range(parts), agree))], 1)
+                inside, covers = cover[:, low:high].all(1), cover.any(1)
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(inside[covers] * buckets.shape[1]))).astype(np.int32), pa.array(buckets[inside & covers].view(np.int64).ravel()))
+                flat = np.ascontiguousarray(words[covers]).view(np.uint8).ravel()
+                offsets = (np.arange(covers.sum() + 1) * words.shape[1] * 16).astype(np.int32)
+                text = pa.Array.from_buffers(pa.binary(), int(covers.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(here[covers])), pa.array(construct[here[covers]]), text, lists], names=["node", "construct_id", "sketch", "buckets"])
+
+    framed = nodes.join(cores(nodes), "construct_id").select("node", "construct_id", "content", *(F.col(c).cast("bigint").alias(c) for c in ("width", "n", "low", "high")))
+    return framed.mapInArrow(sketch, "node bigint, construct_id bigint, sketch binary, buckets array<bigint>")
+
+
+def words_of(sketch: pa.Array) -> np.ndarray:
+    """Sketches as rows of words, those of narrower constructs with nothing covered at their ends."""
+    n = len(sketch)
+    offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset : sketch.offset + n + 1]
+    length, data = np.diff(offsets), np.frombuffer(sketch.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    out = np.zeros((n, int(length.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < length[:, None]] = data
+    return out.view(np.uint64)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """Whether sketches (words last, broadcast) differ at no more positions than similar rows do."""
+    shape = np.broadcast_shapes(x.shape[:-1], y.shape[:-1])
+    both, differ = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    for k in range(0, x.shape[-1], 2):
+        shared = x[..., k + 1] & y[..., k + 1]
+        both += np.bitwise_count(shared)
+        differ += np.bitwise_count((x[..., k] ^ y[..., k]) & shared)
+    return (both > 0) & (differ <= most * both + 1e-9)
+
+
+def pairs_in_lists(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row of lists of these sizes with those after it in its list, ``PAIRS`` at a time."""
+    after = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum())) - 1
+    upto = np.cumsum(after)
+    for begin in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+        pair = np.arange(begin, min(begin + PAIRS, int(upto[-1])))
+        i = np.searchsorted(upto, pair, "right")
+        yield i, i + 1 + pair - (upto[i] - after[i])
+
+
+def candidates(nodes: DataFrame, most: float) -> DataFrame:
+    """``a, b`` (a < b) of all similar nodes of the constructs, and of a few besides."""
+    sketched = checkpointed(sketches(nodes, most))
+    entries = sketched.select("construct_id", F.explode("buckets").alias("bucket"), "node", "sketch")
+    sizes = sketched.select("construct_id", F.explode("buckets").alias("bucket")).groupBy("construct_id", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    spread = entries.join(sizes, ["construct_id", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BUCKET_ROWS)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocks = spread.groupBy("construct_id", "bucket", "blocks", "block").agg(F.collect_list(F.struct("node", "sketch")).alias("rows"))
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with blocks; ``same`` where it is one and the same."""
         for batch in batches:
-            if not len(batch):
-                continue
-            carried = 0 if kept is None else len(kept)
-            b = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            grid = from_strings(b["rotated"].tolist())
-            bucket, node, construct = b["bucket"].to_numpy(), b["node"].to_numpy(), b["construct_id"].to_numpy()
-            for step in range(1, reach + 1):
-                later = np.arange(max(carried, step), len(b))
-                later = later[(bucket[later] == bucket[later - step]) & (construct[later] == construct[later - step]) & (node[later] != node[later - step])]
-                if len(later):
-                    both, differ = differences(grid[later], grid[later - step])
-                    x, y = node[later], node[later - step]
-                    out = pd.DataFrame({"construct_id": construct[later], "a": np.minimum(x, y), "b": np.maximum(x, y), "total": both - differ, "links": both})
-                    yield out[both > 0]
-            kept = b.tail(reach).reset_index(drop=True)
-
-    return line.mapInPandas(link, "construct_id bigint, a bigint, b bigint, total bigint, links bigint").dropDuplicates(["a", "b"])
+            for rows_a, rows_b, same in zip(*(batch.column(i) for i in range(3))):
+                (id_a, x), (id_b, y) = ((r.values.field("node").to_numpy(), words_of(r.values.field("sketch"))) for r in (rows_a, rows_b))
+                for k in range(0, len(x), BLOCK_ROWS):
+                    i, j = np.nonzero(may_be_similar(x[k : k + BLOCK_ROWS, None], y[None], most))
+                    if same.as_py():
+                        i, j = i[i + k < j], j[i + k < j]
+                    yield pairs(id_a[i + k], id_b[j])
+
+    def compare_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, size = batch.column(0).flatten(), pc.list_value_length(batch.column(0)).to_numpy()
+            ids, words = flat.field("node").to_numpy(), words_of(flat.field("sketch"))
+            for i, j in pairs_in_lists(size):
+                near = may_be_similar(words[i], words[j], most)
+                yield pairs(ids[i[near]], ids[j[near]])
+
+    schema = "a bigint, b bigint"
+    blocks = checkpointed(blocks)
+    few = (F.col("blocks") == 1) & (F.size("rows") <= FEW_ROWS)
+    found = blocks.filter(few).select("rows").mapInArrow(compare_few, schema)
+    many = blocks.filter(~few)
+    left = many.select("construct_id", "bucket", F.col("rows").alias("rows_a"), F.col("block").alias("own"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    met = left.join(many.select("construct_id", "bucket", "block", F.col("rows").alias("rows_b")), ["construct_id", "bucket", "block"])
+    found = found.unionByName(met.select("rows_a", "rows_b", (F.col("own") == F.col("block")).alias("same")).mapInArrow(compare, schema))
+    narrow = sketched.filter(F.size("buckets") == 0)
+    if not narrow.isEmpty():
+        # A row that does not cover the core is compared with every row of its construct.
+        constructs = narrow.groupBy("construct_id").agg(F.count(F.lit(1)).alias("k"))
+        dealt = sketched.join(constructs, "construct_id").withColumn("narrow", F.size("buckets") == 0).withColumn("part", F.xxhash64("node") % F.ceil(F.col("k") / BUCKET_ROWS))
+        dealt = dealt.groupBy("construct_id", "narrow", "part").agg(F.collect_list(F.struct("node", "sketch")).alias("rows"))
+        x = dealt.filter("narrow").select("construct_id", F.col("part").alias("own"), F.col("rows").alias("rows_a"))
+        beside = x.join(dealt.withColumnRenamed("rows", "rows_b"), "construct_id").filter(~F.col("narrow") | (F.col("own") <= F.col("part")))
+        found = found.unionByName(beside.select("rows_a", "rows_b", (F.col("narrow") & (F.col("own") == F.col("part"))).alias("same")).mapInArrow(compare, schema))
+    return found.distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes of ``pairs`` (``a, b``): the least node that each is connected with."""
+    edges = checkpointed(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    while True:
+        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
+        least = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "least").alias("to"))
+        # On to the label of the label.
+        moved = least.join(labels.select(F.col("node").alias("to"), "component"), "to").select("node", "old", "component")
+        moved = checkpointed(moved)
+        labels = moved.select("node", "component")
+        if moved.filter(F.col("old") != F.col("component")).isEmpty():
+            return labels
 
 
 def lots(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
@@ -328,28 +386,19 @@ def merge_nearest(links: DataFrame, threshold: float, task_links: int) -> DataFr
 
 def cluster_large_constructs(nodes: DataFrame, threshold: float, task_links: int | None = None) -> DataFrame:
     """``node, cluster`` of every node of ``nodes`` (``node, construct_id, content``); a cluster is named by its least node."""
-    nodes = checkpointed(nodes.join(needed_spans(nodes), "construct_id", "left"))
-    labels = nodes.select("node", F.col("node").alias("cluster"))
-    heads = nodes
-    left: DataFrame | None = None
-    seed = 0
-    while True:
-        links = link_neighbours(heads, *(FIRST_PASS if seed == 0 else LATER_PASS), seed)
-        if left is not None:
-            links = links.unionByName(left).groupBy("construct_id", "a", "b").agg(F.sum("total").alias("total"), F.sum("links").alias("links"))
-        links = checkpointed(links)
-        merged = checkpointed(merge_nearest(links, threshold, TASK_LINKS if task_links is None else task_links))
-        if merged.isEmpty():
-            if seed:
-                return labels
-        else:
-            to = merged.select(F.col("node").alias("old"), F.col("cluster").alias("new"))
-            labels = checkpointed(labels.join(to, F.col("cluster") == F.col("old"), "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
-            # The widest row stands for its cluster, under the cluster's name.
-            widest = F.max_by(F.struct("content", "spans"), F.struct(F.length(F.trim("content")), -F.col("node"))).alias("row")
-            heads = checkpointed(nodes.join(labels, "node").groupBy("construct_id", F.col("cluster").alias("node")).agg(widest).select("node", "construct_id", "row.*"))
-        left = renamed_links(links, merged)
-        seed += 1
+    labels = components(candidates(nodes, 1 - threshold))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_rows"))
+    members = nodes.join(labels.join(sizes, "component"), "node").select(F.col("node").alias("row_id"), "construct_id", F.col("component").alias("subpopulation"), "n_rows", "content")
+
+    def links_of(component: np.ndarray, id_a: np.ndarray, id_b: np.ndarray, both: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+        component, id_a, id_b, both, differ = (x[both > 0] for x in (component, id_a, id_b, both, differ))
+        columns = (component, np.minimum(id_a, id_b), np.maximum(id_a, id_b), (both - differ).astype(np.int64), both.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["construct_id", "a", "b", "total", "links"])
+
+    links = checkpointed(pairs_within(members, links_of, "construct_id bigint, a bigint, b bigint, total bigint, links bigint"))
+    merged = merge_nearest(links, threshold, TASK_LINKS if task_links is None else task_links)
+    to = merged.select(F.col("node").alias("old"), "cluster")
+    return nodes.join(to, F.col("node") == F.col("old"), "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def find_subpopulations(rows: DataFrame, groups: DataFrame, most: float = 0.06, task_rows: int | None = None) -> DataFrame:
@@ -361,8 +410,8 @@ def find_subpopulations(rows: DataFrame, groups: DataFrame, most: float = 0.06,
     rows of no known group or construct, do not come out; a row that is like no other forms a subpopulation of its own.
     Empty tables give no rows; other columns are not read.
 
-    In constructs of up to ``task_rows`` rows (``TASK_ROWS``) all similarities count. In larger ones rows meet by sampled
-    positions, of the middle or of a window that both cover: stretches of three sixteenths of the width hold one.
+    Constructs of up to ``task_rows`` rows (``TASK_ROWS``) are compared in one task, larger ones by buckets; the result is
+    the same.
     """
     task_rows = TASK_ROWS if task_rows is None else task_rows
     threshold = 1 - most
@@ -391,48 +440,51 @@ def blocks_of(members: DataFrame) -> DataFrame:
     return spread.groupBy("construct_id", "subpopulation", "n_rows", "blocks", "block").agg(F.collect_list(F.struct("row_id", "content")).alias("rows"))
 
 
-def similar_pairs(members: DataFrame, most: float = 0.06) -> DataFrame:
-    """``row_a, row_b`` (row_a < row_b) of the rows of a subpopulation that differ at no more than ``most``.
+def pairs_within(members: DataFrame, report: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``report`` makes of (subpopulation, row, row, positions that both cover, differences) of all pairs within subpopulations.
 
-    Blocks of a subpopulation are compared with its blocks; as many pairs come out as there are.
+    Blocks of a subpopulation are compared with its blocks.
     """
     blocks = checkpointed(blocks_of(members.filter(F.col("n_rows") > 1)))
     several = blocks.filter(F.col("blocks") > 1)
     left = several.select("subpopulation", F.col("block").alias("own"), F.col("rows").alias("rows_a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = several.select("subpopulation", "block", F.col("rows").alias("rows_b"))
-    compared = left.join(right, ["subpopulation", "block"]).select("own", "block", "rows_a", "rows_b")
-
-    def near_ones(id_a: np.ndarray, id_b: np.ndarray, both: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
-        x, y = (ids[differ <= most * both + 1e-9] for ids in (id_a, id_b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["row_a", "row_b"])
+    compared = left.join(right, ["subpopulation", "block"]).select("own", "block", "rows_a", "rows_b", "subpopulation")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, other, rows_a, rows_b in zip(*(batch.column(i) for i in range(4))):
+            for own, other, rows_a, rows_b, name in zip(*(batch.column(i) for i in range(5))):
                 a, b = rows_a.values, rows_b.values
                 both, differ = overlaps(from_strings(a.field("content")), from_strings(b.field("content")))
                 i, j = np.nonzero(np.tri(len(a), len(b), -1, bool).T if own.as_py() == other.as_py() else np.ones((len(a), len(b)), bool))
-                yield near_ones(a.field("row_id").to_numpy()[i], b.field("row_id").to_numpy()[j], both[i, j], differ[i, j])
+                yield report(np.full(len(i), name.as_py()), a.field("row_id").to_numpy()[i], b.field("row_id").to_numpy()[j], both[i, j], differ[i, j])
 
     def compare_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All pairs within each of many small blocks at once."""
         for batch in batches:
             flat, size = batch.column(0).flatten(), pc.list_value_length(batch.column(0)).to_numpy()
             ids, grid = flat.field("row_id").to_numpy(), from_strings(flat.field("content"))
-            # Each row with those after it in its block.
-            after = np.repeat(np.cumsum(size), size) - np.arange(len(ids)) - 1
-            upto = np.cumsum(after)
-            for begin in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
-                pair = np.arange(begin, min(begin + PAIRS, int(upto[-1])))
-                i = np.searchsorted(upto, pair, "right")
-                j = i + 1 + pair - (upto[i] - after[i])
-                yield near_ones(ids[i], ids[j], *differences(grid[i], grid[j]))
-
-    schema = "row_a bigint, row_b bigint"
-    within = blocks.filter(F.col("blocks") == 1).select("rows").mapInArrow(compare_within, schema)
+            name = np.repeat(batch.column(1).to_numpy(), size)
+            for i, j in pairs_in_lists(size):
+                yield report(name[i], ids[i], ids[j], *differences(grid[i], grid[j]))
+
+    within = blocks.filter(F.col("blocks") == 1).select("rows", "subpopulation").mapInArrow(compare_within, schema)
     return within.unionByName(compared.mapInArrow(compare, schema))
 
 
+def similar_pairs(members: DataFrame, most: float = 0.06) -> DataFrame:
+    """``row_a, row_b`` (row_a < row_b) of the rows of a subpopulation that differ at no more than ``most``.
+
+    As many pairs come out as there are.
+    """
+
+    def near_ones(_: np.ndarray, id_a: np.ndarray, id_b: np.ndarray, both: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+        x, y = (ids[differ <= most * both + 1e-9] for ids in (id_a, id_b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["row_a", "row_b"])
+
+    return pairs_within(members, near_ones, "row_a bigint, row_b bigint")
+
+
 def describe_subpopulations(members: DataFrame, typical: int = 3) -> DataFrame:
     """``construct_id, subpopulation, n_rows, typical_rows``: the size, and the rows nearest to the consensus.
 

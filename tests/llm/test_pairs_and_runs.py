@@ -287,3 +287,20 @@ def test_estimates_of_a_plan_do_not_grow_with_the_rounds(spark):
         assert links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
         merged = S.checkpointed(links.join(merged, F.col("a") == F.col("cluster"), "left").select(F.col("b").alias("node"), F.coalesce("cluster", "a").alias("cluster")).distinct())
     assert links.columns == ["construct_id", "a", "b", "total", "links"]
+
+
+@pytest.mark.parametrize("one_part", [1 << 18, 0])
+def test_the_size_of_a_construct_does_not_change_its_subpopulations(spark, monkeypatch, one_part):
+    """Rows that cover all, a part or little of the width, at distances about the limit; in one task and by buckets."""
+    monkeypatch.setattr(S, "ONE_PART", one_part)
+    monkeypatch.setattr(S, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(S, "FEW_ROWS", 6)
+    rng = random.Random(21)
+    ref, specs = partly_covered(rng, 14, 8)
+    for _ in range(14):
+        row = rng.choice(specs)
+        specs += [row := "".join(rng.choice("ACGT") if c != "-" and rng.random() < 0.05 else c for c in row) for _ in range(6)]
+    specs += ["-" * 160, "-" * 70 + "." * 5 + "-" * 85, "-" * 72 + "..A" + "-" * 85, "." * 160]
+    tell = lambda task_rows: sorted(map(tuple, S.find_subpopulations(rows(spark, specs), groups(spark, ref), task_rows=task_rows).collect()))
+    want = tell(None)
+    assert tell(20) == want and 1 < len({x[2] for x in want}) < len(want) == len(specs)
