@@ -2,7 +2,7 @@
 
 Signatures are collapsed in Spark first; one task then holds the distinct signatures of one group. Up to
 ``MAX_SIGNATURES`` it holds their distances too, n x n doubles; a larger group is linked in the same way from the
-column sums of its clusters, n x columns floats.
+column sums of its clusters, n x columns floats, and from lists of what is near to each.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ MAX_SIGNATURES = 6_000
 
 #: Rows whose distances to all others are held at a time.
 SCAN_ROWS = 256
+#: Rows and columns of distances that are counted at a time.
+TILE_ROWS, TILE_COLUMNS = 32, 1_024
+#: What is near to a cluster: so many others are listed, and of signatures those so much farther than the nearest.
+LISTED, FARTHER = 128, 8
 #: Signatures that are compared as a block.
 BLOCK_SIGNATURES = 2_048
 
@@ -73,20 +77,41 @@ def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
-def nearest_rows(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each 0/1 row's nearest other row (the least index of equals) and its distance, by blocks of ``SCAN_ROWS``."""
-    bits = bits.astype(np.float32)
-    size = bits.sum(1)
-    near, away = np.zeros(len(bits), np.int64), np.zeros(len(bits))
-    for i in range(0, len(bits), SCAN_ROWS):
-        d = bits[i : i + SCAN_ROWS] @ bits.T
-        d *= -2
-        d += size
+def nearest_rows(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Each 0/1 row's nearest other row (the least index of equals) and its distance; the rows that are near to it, and
+    a distance that no other row falls below."""
+    n = len(bits)
+    packed = np.packbits(bits.astype(bool), axis=1)
+    packed = np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64).T.copy()
+    kind = np.uint8 if bits.shape[1] < 255 else np.uint32
+    none = np.iinfo(kind).max
+    near, away, bound = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf)
+    lists: list[np.ndarray] = []
+    # Small tiles, so that what is counted stays in the processor's cache.
+    unlike, count = np.empty((TILE_ROWS, TILE_COLUMNS), np.uint64), np.empty((TILE_ROWS, TILE_COLUMNS), np.uint8)
+    for i in range(0, n, TILE_ROWS):
+        d = np.zeros((min(TILE_ROWS, n - i), n), kind)
+        for j in range(0, n, TILE_COLUMNS):
+            tile = d[:, j : j + TILE_COLUMNS]
+            x, c = (a[: tile.shape[0], : tile.shape[1]] for a in (unlike, count))
+            for word in packed:
+                np.bitwise_xor(word[i : i + len(d), None], word[j : j + TILE_COLUMNS], out=x)
+                tile += np.bitwise_count(x, out=c)
         own = np.arange(len(d))
-        d[own, i + own] = np.inf
+        d[own, i + own] = none
         near[i : i + len(d)] = d.argmin(1)
-        away[i : i + len(d)] = d[own, near[i : i + len(d)]] + size[i : i + len(d)]
-    return near, away
+        away[i : i + len(d)] = d[own, near[i : i + len(d)]]
+        for k in range(len(d)):
+            far = int(away[i + k]) + FARTHER
+            close = np.flatnonzero(d[k] < min(far, none))
+            if len(close) > LISTED:
+                # As far as no more than are listed stand.
+                upto = np.cumsum(np.bincount(d[k, close] - int(away[i + k]), minlength=FARTHER))
+                far = int(away[i + k]) + int((upto <= LISTED).sum())
+                close = close[d[k, close] < far]
+            lists.append(close.astype(np.int32))
+            bound[i + k] = far
+    return near, away, lists, bound
 
 
 def linkage_of_marks(bits: np.ndarray) -> list[tuple[int, int, float]]:
@@ -96,33 +121,74 @@ def linkage_of_marks(bits: np.ndarray) -> list[tuple[int, int, float]]:
     sums: whole numbers and one division, so that equal means are equal. Single precision finds the rows that may be
     nearest, double precision decides. A cluster's nearest stays the nearest until that one merges itself (the
     linkage is reducible), hence it is kept.
+
+    Each cluster has a list, outside of which nothing is nearer than its bound; what merges outside stays as far, as its
+    distance is a mean. Two that merge have both lists and the mean of the bounds. While the nearest in the list is below the
+    bound it is the nearest of all; only otherwise are all clusters scanned.
     """
     n, m = bits.shape
     sums = bits.astype(np.float32)
     total, weight = bits.sum(1).astype(float), np.ones(n)
     share, part = total.astype(np.float32), np.ones(n, np.float32)  # share is inf where a row is gone
     slot, row = np.arange(n), np.arange(n)
-    near, away = nearest_rows(bits)
+    near, away, lists, bound = nearest_rows(bits)
+    within = np.arange(n)  # the slot that a slot was absorbed by
     seen, changed = np.zeros(n, np.int64), np.zeros(n, np.int64)  # number of merges when near was found, when a slot last merged
     merges: list[tuple[int, int, float]] = []
     path: list[int] = []
 
+    def distances(r: int, others: np.ndarray) -> np.ndarray:
+        shared = sums[others].astype(float) @ sums[r].astype(float)
+        return (total[others] * weight[r] + total[r] * weight[others] - 2 * shared) / (weight[others] * weight[r])
+
+    def found_in_list(tip: int) -> bool:
+        listed = lists[tip]
+        now = within[listed]
+        while (within[now] != now).any():
+            now = within[now]
+        within[listed] = now
+        now = np.unique(now)
+        now = now[now != tip]
+        if not len(now):
+            return False
+        r, others = row[tip], row[now]
+        d = share[others] - part[others] * (sums[others] @ (sums[r] * (2 * part[r])))
+        error = (m + 8) * 2.0**-21 * (1 + share[r])
+        close = np.flatnonzero(d <= d.min() + error)
+        exact = distances(r, others[close])
+        k = int(exact.argmin())
+        if exact[k] >= bound[tip]:
+            return False
+        near[tip], away[tip], seen[tip] = now[close[k]], exact[k], len(merges)
+        if len(now) > LISTED:
+            order = d.argpartition(LISTED)
+            bound[tip] = min(bound[tip], d[order[LISTED]] + share[r] - error)
+            now = now[order[:LISTED]]
+        lists[tip] = now
+        return True
+
     def scan(tip: int) -> None:
         r = row[tip]
         d = sums @ (sums[r] * (-2 * part[r]))
         d *= part
         d += share
         d[r] = np.inf
-        close = np.flatnonzero(d <= d.min() + (m + 8) * 2.0**-21 * (1 + share[r]))
-        exact = (total[close] * weight[r] + total[r] * weight[close] - 2 * (sums[close].astype(float) @ sums[r].astype(float))) / (weight[close] * weight[r])
+        error = (m + 8) * 2.0**-21 * (1 + share[r])
+        close = np.flatnonzero(d <= d.min() + error)
+        exact = distances(r, close)
         k = int(exact.argmin())
         near[tip], away[tip], seen[tip] = slot[close[k]], exact[k], len(merges)
+        if len(d) > LISTED:
+            order = d.argpartition(LISTED)
+            lists[tip], bound[tip] = slot[order[:LISTED]], d[order[LISTED]] + share[r] - error
+        else:
+            lists[tip], bound[tip] = slot[np.isfinite(d)], np.inf
 
     while len(merges) < n - 1:
         if not path:
             path.append(0)  # the lower slot is kept, so that the first is never gone
         tip = path[-1]
-        if max(changed[tip], changed[near[tip]]) > seen[tip]:
+        if max(changed[tip], changed[near[tip]]) > seen[tip] and not found_in_list(tip):
             scan(tip)
         if len(path) < 2 or near[tip] != path[-2]:
             path.append(int(near[tip]))
@@ -132,6 +198,9 @@ def linkage_of_marks(bits: np.ndarray) -> list[tuple[int, int, float]]:
         merges.append((keep, drop, float(away[tip])))
         changed[keep] = changed[drop] = len(merges)
         k, g = row[keep], row[drop]
+        within[drop] = keep
+        lists[keep], lists[drop] = np.concatenate((lists[keep], lists[drop])), lists[drop][:0]
+        bound[keep] = (bound[keep] * weight[k] + bound[drop] * weight[g]) / (weight[k] + weight[g]) * (1 - 1e-12)
         sums[k] += sums[g]
         total[k] += total[g]
         weight[k] += weight[g]

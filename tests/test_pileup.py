@@ -333,3 +333,20 @@ def test_counts_of_positions_equal_those_of_cells(spark):
     counted = pileup.counted_positions(pileup.placed_rows(r, g))
     assert {tuple(x) for x in counted.select("group_id", "pos", "depth", "matches", "deletions").collect()} == want
     assert pileup.counted_positions(pileup.placed_rows(spark.createDataFrame([], ROWS), g)).count() == 0
+
+
+@pytest.mark.parametrize("listed", [1, 5, 128])
+def test_linkage_looks_for_the_nearest_in_lists_first(monkeypatch, listed):
+    """No row that is not listed falls below the bound, and the lists, short or long, give the merges of the full distances."""
+    monkeypatch.setattr(clustering, "LISTED", listed)
+    rng = np.random.default_rng(5)
+    base = rng.random((9, 70)) < 0.3
+    bits = np.unique(np.concatenate([b ^ (rng.random((10, 70)) < 0.04) for b in base]), axis=0)
+    bits = bits[rng.permutation(len(bits))].astype(float)
+    distance = (bits[:, None] != bits[None]).sum(2)
+    near, away, lists, bound = clustering.nearest_rows(bits)
+    np.fill_diagonal(distance, 999)
+    assert near.tolist() == distance.argmin(1).tolist() and away.tolist() == distance.min(1).tolist()
+    for i, row in enumerate(distance):
+        assert len(lists[i]) <= listed and np.delete(row, lists[i]).min() >= bound[i]
+    assert clustering.linkage_of_marks(bits) == exact_chain([frozenset(np.flatnonzero(b).tolist()) for b in bits])
